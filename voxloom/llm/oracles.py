@@ -1,5 +1,60 @@
 """DuckDB statements that must give the rows of the queries of the same names."""
 
+from voxloom.llm.mapping import _fold_tables
+
+_OLD, _NEW = _fold_tables()
+
+
+def _fold(x: str) -> str:
+    return f"lower(translate({x}, '{_OLD}', '{_NEW}'))"
+
+
+def _only(x: str, kept: str) -> str:
+    return f"regexp_replace({x}, '[^{kept}]+', '', 'g')"
+
+
+#: Every distinct hint against every reference string: no segments, no index.
+_P7 = f"""
+    WITH named AS (
+        SELECT product_id, {_fold('canonical_name')} AS name, coalesce(aliases, []) AS aliases FROM product_catalog
+    ), parts AS (
+        SELECT *, split_part(name, ' ', 1) AS brand, split_part(name, ' ', 2) AS model, split_part(name, ' ', -1) AS kind FROM named
+    ), every AS (
+        SELECT product_id, {_fold('product_id')} AS ref FROM parts
+        UNION ALL SELECT product_id, name FROM parts
+        UNION ALL SELECT product_id, {_fold('unnest(aliases)')} FROM parts
+        UNION ALL SELECT product_id, regexp_replace({_fold('unnest(aliases)')}, '^the ', '') FROM parts
+        UNION ALL SELECT product_id, left(brand, n) || model FROM parts, range(3, 40) r(n) WHERE n <= length(brand)
+        UNION ALL SELECT product_id, brand || model || kind FROM parts
+        UNION ALL SELECT product_id, kind || brand || model FROM parts
+    ), refs AS (
+        SELECT DISTINCT product_id, {_only('ref', 'a-z0-9')} AS ref FROM every
+    ), hints AS (
+        SELECT DISTINCT product_hint, regexp_replace(regexp_replace({_fold('product_hint')}, '\\p{{M}}+', '', 'g'),
+            '\\([^)]*\\)|\\bcustomer\\W?s\\b|\\bsku\\b|\\bqty\\b\\W*[0-9]+|\\b(?:fw|firmware|version|v)\\b\\W*[0-9][0-9.]*', ' ', 'g') AS t
+        FROM calls WHERE product_hint <> ''
+    ), models AS (
+        SELECT product_hint, {_only('t', 'a-z0-9')} AS whole,
+               regexp_extract(t || ' ', '([a-z]+)[^a-z0-9]*([0-9][0-9oil][0-9oil])[^a-z0-9]', ['a', 'm']) AS near,
+               regexp_extract({_only('t', 'a-z0-9')}, '^([a-z]+)([0-9][0-9oil][0-9oil])$', ['a', 'm']) AS spelled
+        FROM hints
+    ), keys AS (
+        SELECT product_hint, whole AS key FROM models
+        UNION SELECT product_hint, near.a || translate(near.m, 'oil', '011') FROM models
+        UNION SELECT product_hint, spelled.a || translate(spelled.m, 'oil', '011') FROM models
+    ), close AS (
+        SELECT product_hint, product_id, levenshtein(key, ref) AS edits FROM keys, refs
+        WHERE key <> '' AND {_only('key', '0-9')} = {_only('ref', '0-9')}
+          AND levenshtein(key, ref) <= CASE WHEN length({_only('ref', 'a-z')}) >= 6 THEN 2 ELSE 0 END
+    ), best AS (
+        SELECT product_hint, max(product_id) AS product_id
+        FROM (SELECT *, rank() OVER (PARTITION BY product_hint ORDER BY edits) AS r FROM close)
+        WHERE r = 1 GROUP BY product_hint HAVING count(DISTINCT product_id) = 1
+    )
+    SELECT DISTINCT call_id, coalesce(product_id, 'UNMATCHED') AS product_id
+    FROM calls LEFT JOIN best USING (product_hint) WHERE product_hint <> ''
+"""
+
 ORACLES = {
     "p3_found": """
         SELECT DISTINCT segment_id AS rec_id, CAST(-1 AS INTEGER) AS turn_pos FROM segments WHERE length(text) > 1200
@@ -8,4 +63,5 @@ ORACLES = {
         FROM (SELECT call_id, unnest(turns) AS turn, generate_subscripts(turns, 1) AS pos FROM calls)
         WHERE length(turn.text) > 1200
     """,
+    "p7_found": _P7,
 }

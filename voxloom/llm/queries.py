@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import splitting, tokenizing
+from voxloom.llm import mapping, splitting, tokenizing
 from voxloom.sources.tables import table
 
 
@@ -16,6 +16,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece_no = 1").select("rec_id", "turn_pos").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.map_hints(table(spark, d, "calls", "call_id", "product_hint"), table(spark, d, "product_catalog"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -23,5 +27,6 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
 }
