@@ -18,7 +18,7 @@ def _profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     named = _profile(spark, d).withColumnsRenamed({"n_distinct": "customers", "mean_value": "mean_confidence"})
-    return named.withColumn("mean_confidence", F.round("mean_confidence", 4))
+    return named.withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-9, 6))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ ORACLES = {
         SELECT product_id, issue_key, count(*) AS mentions, count(DISTINCT customer_id) AS customers,
                min(CAST(timestamp AS TIMESTAMPTZ)) AT TIME ZONE 'UTC' AS first_at,
                max(CAST(timestamp AS TIMESTAMPTZ)) AT TIME ZONE 'UTC' AS last_at,
-               round(CAST(sum(CAST(confidence AS DECIMAL(18, 9))) AS DOUBLE) / count(confidence), 4) AS mean_confidence
+               round(CAST(sum(CAST(confidence AS DECIMAL(18, 9))) AS DOUBLE) / count(confidence) + 1e-9, 6) AS mean_confidence
         FROM observations GROUP BY product_id, issue_key
     """,
 }
