@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mapping, splitting, tokenizing
+from voxloom.llm import leaks, mapping, splitting, tokenizing
 from voxloom.sources.tables import table
 
 
@@ -24,9 +24,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "item_text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
 }
