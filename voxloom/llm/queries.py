@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import leaks, mapping, splitting, tokenizing
+from voxloom.llm import leaks, mapping, quality, splitting, tokenizing
 from voxloom.sources.tables import table
 
 
@@ -32,6 +32,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_quality(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).filter("doc_class <> 'prose'").select("doc_id", "doc_class").distinct()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -39,4 +47,6 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
