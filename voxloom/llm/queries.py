@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxloom.llm import leaks, mapping, quality, splitting, tokenizing
+from voxloom.llm import history, leaks, mapping, quality, splitting, tokenizing
 from voxloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["segment_id", "customer_id", "timestamp", "text"]
+    found = history.repeated_segments(table(spark, d, "segments", *columns), table(spark, d, "segments_incoming", *columns, "batch_no"))
+    pair = F.array_sort(F.array("segment_id", "repeats"))
+    return found.select(pair[0].alias("segment_id_a"), pair[1].alias("segment_id_b")).distinct()
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, d, "segments", "segment_id", "text"), table(spark, d, "calls", "call_id", "turns"))
 
@@ -41,6 +49,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p7_found": p7_found,
