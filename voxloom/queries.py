@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import skew
+from voxloom.operators import drift, skew
+from voxloom.session import cut
 from voxloom.sources.tables import table
 
+#: Names that a renamed field goes back to.
+SEGMENT_FIELDS = (
+    *("segment_id", "call_id", "customer_id", "timestamp", "region", "centre", "channel", "product_hint", "trust", "product_confidence", "relevance"),
+    *("pii_redactions", "content_hash", "route_reason", "injection_signatures", "customer_turns", "desk_no"),
+    *("turns.speaker", "turns.text", "turns.start_time", "turns.speaker_confidence", "turns.lang"),
+)
 KEYS = ["product_id", "issue_key"]
 
 
@@ -26,7 +33,36 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.heavy_keys(_profile(spark, d), total).select(*KEYS)
 
 
-QUERIES = {"p6_found": p6_found, "p6_profile": p6_profile}
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segment_feed", "feed_name", "file_no", "line_no", "payload")
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    return drift.file_changes(drift.file_headers(_feed(spark, d)))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_changes(spark, d).select("feed_name", "file_no", "change_kind", "field_path", "new_path").distinct()
+
+
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    headers = cut(drift.file_headers(_feed(spark, d)))
+    names, types = drift.union_schema(headers, drift.file_changes(headers), SEGMENT_FIELDS)
+    return drift.consistent_table(_feed(spark, d), names, types)
+
+
+def p5_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    return drift.quarantine(_feed(spark, d))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_changes": p5_changes,
+    "p5_table": p5_table,
+    "p5_quarantine": p5_quarantine,
+    "p6_found": p6_found,
+    "p6_profile": p6_profile,
+}
 
 ORACLES = {
     "p6_found": """
