@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.session import cut
+
 #: Types in order of width; a promotion goes to the first type at or above both.
 LATTICE = ("boolean", "number", "string", "array", "object")
 #: Likeness of names and of values from which a field that went and one that came are the same.
@@ -189,13 +191,31 @@ def name_likeness(a: str, b: str) -> float:
     return sum(any(_same_word(v, w) for w in y) for v in x) / max(1, len(x))
 
 
-def compare_headers(old: dict[str, tuple[str, list[str]]], new: dict[str, tuple[str, list[str]]]) -> list[tuple[str, str, str, str | None, str | None]]:
-    """(change_kind, field_path, new_path, old type, new type) of one file against the one before, in order of the paths."""
+def same_fields(links: list[tuple[str, str]]) -> dict[str, str]:
+    """One name for all paths that renames connect."""
+    parent: dict[str, str] = {}
+
+    def root(p: str) -> str:
+        while parent.setdefault(p, p) != p:
+            p = parent[p]
+        return p
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    return {p: root(p) for p in parent}
+
+
+def compare_headers(old: dict[str, tuple[str, list[str]]], new: dict[str, tuple[str, list[str]]], known: dict[str, str] | None = None) -> list[tuple[str, str, str, str | None, str | None]]:
+    """(change_kind, field_path, new_path, old type, new type) of one file against the one before, in order of the paths.
+
+    ``known`` names paths that other files have shown to be one field.
+    """
+    known = known or {}
     gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
     scored = []
     for g in gone:
         for c in come:
-            n = name_likeness(g, c)
+            n = 1.0 if g in known and known[g] == known.get(c) else name_likeness(g, c)
             v, telling = value_likeness(old[g][1], new[c][1])
             codes = max(len(set(old[g][1])), len(set(new[c][1]))) <= CODES and "array" not in (old[g][0], new[c][0])
             # Known by both; by values that nothing else has; or a list of codes recoded under nearly the same name.
@@ -216,28 +236,36 @@ def compare_headers(old: dict[str, tuple[str, list[str]]], new: dict[str, tuple[
 
 
 def file_changes(headers: DataFrame) -> DataFrame:
-    """Every difference of a file from the file numbered one less in its feed."""
+    """Every difference of a file from the file numbered one less in its feed.
+
+    Two passes over the headers: names that the first finds to be one field anywhere
+    are known as such in the second, where a rename skips the name in common.
+    """
     one = F.collect_list(F.struct("field_path", "kind", "values"))
-    files = headers.groupBy("feed_name", "file_no").agg(one.alias("fields"))
+    files = cut(headers.groupBy("feed_name", "file_no").agg(one.alias("fields")))
     before = files.select("feed_name", (F.col("file_no") + 1).alias("file_no"), F.col("fields").alias("old"))
-    pairs = files.join(before, ["feed_name", "file_no"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda fields: {f["field_path"]: (f["kind"], f["values"]) for f in fields if f["field_path"]}
-        for b in batches:
-            rows = []
-            for name, no, new, old in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows += [(name, no, k, *c) for k, c in enumerate(compare_headers(read(old), read(new)), 1)]
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
-                ["feed_name", "file_no", "change_no", "change_kind", "field_path", "new_path", "old_type", "new_type"],
-            )
-
-    return pairs.select("feed_name", "file_no", "fields", "old").mapInArrow(
-        compare, "feed_name string, file_no int, change_no int, change_kind string, field_path string, new_path string, old_type string, new_type string"
-    )
+    pairs = files.join(before, ["feed_name", "file_no"]).select("feed_name", "file_no", "fields", "old")
+
+    def comparing(known: dict[str, str]) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = lambda fields: {f["field_path"]: (f["kind"], f["values"]) for f in fields if f["field_path"]}
+            for b in batches:
+                rows = []
+                for name, no, new, old in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    rows += [(name, no, k, *c) for k, c in enumerate(compare_headers(read(old), read(new), known), 1)]
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                    ["feed_name", "file_no", "change_no", "change_kind", "field_path", "new_path", "old_type", "new_type"],
+                )
+
+        return pairs.mapInArrow(compare, "feed_name string, file_no int, change_no int, change_kind string, field_path string, new_path string, old_type string, new_type string")
+
+    links = comparing({}).filter("change_kind = 'renamed'").select("field_path", "new_path").distinct().limit(MOST_FIELDS + 1).collect()
+    if len(links) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} distinct renames")
+    return comparing(same_fields([(r[0], r[1]) for r in links if name_likeness(r[0], r[1]) >= SAME_NAME]))
 
 
 def union_schema(headers: DataFrame, changes: DataFrame, preferred: tuple[str, ...] = ()) -> tuple[dict[str, str], dict[str, str]]:
@@ -253,18 +281,10 @@ def union_schema(headers: DataFrame, changes: DataFrame, preferred: tuple[str, .
     if len(seen) > MOST_FIELDS:
         raise ValueError(f"more than {MOST_FIELDS} distinct fields")
     links = changes.filter("change_kind = 'renamed'").select("field_path", "new_path").distinct().collect()
-    parent = {r["field_path"]: r["field_path"] for r in seen}
-
-    def root(p: str) -> str:
-        while parent[p] != p:
-            p = parent[p]
-        return p
-
-    for a, b in links:
-        parent[root(a)] = root(b)
+    root = same_fields([(a, b) for a, b in links])
     groups: dict[str, list] = defaultdict(list)
     for r in seen:
-        groups[root(r["field_path"])].append(r)
+        groups[root.get(r["field_path"], r["field_path"])].append(r)
     names, types = {}, {}
     for rows in groups.values():
         best = max(rows, key=lambda r: (r["field_path"] in preferred, r["files"], r["field_path"]))["field_path"]
