@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -60,3 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: later readers scan only the columns they use."""
+    place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+#: Rows of few short columns that may be broadcast (some 10 MB).
+SMALL_ROWS = 300_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, which must be stored, with a broadcast hint if it has at most ``rows`` rows; else it is shuffled like any side."""
+    return F.broadcast(df) if df.count() <= rows else df
