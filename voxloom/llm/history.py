@@ -6,9 +6,9 @@ TREES permutations packs DEPTH of them into one sortable number, so texts that
 resemble each other share a prefix in some permutation. The forest of a run is kept
 as a table; runs are concatenated and merged by ``merge_runs``.
 
-A search takes the deepest prefixes first and links an entry only to the earliest
-text of each range: a star, so a group of near-copies that holds a third of the rows
-costs one link a row and permutation. Entries that this leaves unsettled search
+A search takes the deepest prefixes first, in STAR_TREES of the permutations, and
+links an entry only to the earliest text of each range: a star, so a group of
+near-copies that holds a third of the rows costs one link a row and permutation. Entries that this leaves unsettled search
 again by the shortest prefix that still reaches RECALL for texts just similar
 enough. All candidates are verified by the longest common subsequence of their
 words. Exact copies are one entry; copies never enter the search.
@@ -29,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.wording import spoken_words
-from voxloom.session import cut
+from voxloom.session import cut, small, stored
 
-TREES, DEPTH = 28, 4
-#: Share of the words that must be common in order, and share of such pairs that must be found.
-SAME, RECALL = 0.8, 0.95
-#: Share of equal min-hashes below which a candidate is not compared word by word (3 deviations below the least similar repeat).
+TREES, DEPTH, STAR_TREES = 22, 4, 6
+#: Share of the words that must be common in order, and share of such pairs that a search must find.
+SAME, RECALL = 0.8, 0.9
+#: Share of equal min-hashes below which a candidate is not compared word by word (over 2.5 deviations below the least similar repeat).
 SKETCH_FLOOR = 0.18
+#: Bytes of one side of all candidate pairs that may be broadcast; more are shuffled.
+SMALL_BYTES = 16_000_000
 
 
 def pair_similarity(same: float = SAME) -> float:
@@ -129,11 +131,11 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "segment_id string, customer_id string, batch int, at timestamp, digest binary, words binary, sketch binary, keys array<bigint>")
 
 
-def permutations(docs: DataFrame, depth: int) -> DataFrame:
+def permutations(docs: DataFrame, depth: int, trees: int = TREES, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc, range): the prefix of ``depth`` in each permutation, within a customer. Equal ranges are neighbours in sorted order."""
-    exploded = docs.select("doc", "customer_id", F.posexplode("keys").alias("tree", "key"))
+    exploded = docs.select("doc", *extra, "customer_id", F.posexplode(F.slice("keys", 1, trees)).alias("tree", "key"))
     prefix = F.shiftrightunsigned("key", 16 * (DEPTH - depth))
-    return exploded.select("doc", F.xxhash64("customer_id", "tree", prefix).alias("range"))
+    return exploded.select("doc", *extra, F.xxhash64("customer_id", "tree", prefix).alias("range"))
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:
@@ -144,15 +146,15 @@ def merge_runs(*runs: DataFrame) -> DataFrame:
     return whole.dropDuplicates(["customer_id", "digest", "segment_id"])
 
 
-def _order(prefix: str = "") -> Column:
-    return F.struct(*(F.col(f"{prefix}{c}") for c in ("batch", "at", "segment_id")))
+_ORDER = ("batch", "at", "segment_id")
 
 
 def star_links(docs: DataFrame) -> DataFrame:
     """(a, b): each new text with the earliest text of every range it is in, by the deepest prefix."""
-    ranges = permutations(docs, DEPTH).join(docs.select("doc", "batch", _order().alias("ord")), "doc")
-    earliest = ranges.groupBy("range").agg(F.min_by("doc", "ord").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return ranges.filter("batch > 0").join(earliest, "range").filter(F.col("doc") != F.col("b")).select(F.col("doc").alias("a"), "b").distinct()
+    ranges = permutations(docs, DEPTH, STAR_TREES, ("batch", "at"))
+    earliest = ranges.groupBy("range").agg(F.min(F.struct("batch", "at", "doc")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    starred = ranges.filter("batch > 0").select("range", F.col("doc").alias("a")).join(earliest.select("range", F.col("first.doc").alias("b")), "range")
+    return starred.filter("a <> b").select("a", "b").distinct()
 
 
 def wide_candidates(docs: DataFrame, searching: DataFrame, depth: int) -> DataFrame:
@@ -163,24 +165,26 @@ def wide_candidates(docs: DataFrame, searching: DataFrame, depth: int) -> DataFr
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a later, b earlier) of pairs whose words agree in order."""
-    sides = docs.select("doc", "sketch")
-    a, b = sides.toDF("a", "sketch_a"), sides.toDF("b", "sketch_b")
-    # Equal bytes of two sketches, counted in the JVM: the hexadecimal forms are compared two signs at a time.
+    """Links (a later, b earlier) of pairs whose words agree in order; ``a`` of a pair is a new text."""
+    sides = docs.select("doc", "sketch", "batch")
+    a, b = sides.filter("batch > 0").select("doc", "sketch").toDF("a", "sketch_a"), sides.select("doc", "sketch").toDF("b", "sketch_b")
     alike = F.aggregate(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        F.sequence(F.lit(1), F.lit(TREES)),
         F.lit(0),
-        lambda n, k: n + (F.substring(F.col("sketch_a"), k + 1, F.lit(1)) == F.substring(F.col("sketch_b"), k + 1, F.lit(1))).cast("int"),
+        lambda n, k: n + (F.substring("sketch_a", k, F.lit(1)) == F.substring("sketch_b", k, F.lit(1))).cast("int"),
     )
-    near = pairs.join(a, "a").join(b, "b").filter(alike >= math.ceil(SKETCH_FLOOR * TREES)).select("a", "b")
-    words = docs.select("doc", "words", _order().alias("ord"))
-    both = near.join(words.toDF("a", "words_a", "ord_a"), "a").join(words.toDF("b", "words_b", "ord_b"), "b")
+    near = stored(pairs.join(a, "a").join(b, "b").filter(alike >= math.ceil(SKETCH_FLOOR * TREES)).select("a", "b"))
+    words = docs.select("doc", "words", F.struct(*_ORDER).alias("ord"))
+    # Few pairs meet the stored words where these are scanned; many are shuffled with them.
+    with_a = stored(words.filter("ord.batch > 0").toDF("a", "words_a", "ord_a").join(small(near), "a"))
+    size = with_a.agg(F.sum(F.length("words_a") + 64)).first()[0] or 0
+    both = words.toDF("b", "words_b", "ord_b").join(F.broadcast(with_a) if size <= SMALL_BYTES else with_a, "b")
     turned = both.select(
         F.when(F.col("ord_a") > F.col("ord_b"), F.col("a")).otherwise(F.col("b")).alias("a"),
         F.when(F.col("ord_a") > F.col("ord_b"), F.col("b")).otherwise(F.col("a")).alias("b"),
         "words_a",
         "words_b",
-    ).dropDuplicates(["a", "b"])
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,18 +195,18 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(min(len(x), len(y)) >= SAME * n and common_in_order(x, y) >= SAME * n)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return turned.mapInArrow(compare, "a bigint, b bigint")
+    return turned.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def settle(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc, accepted) of all texts: accepted unless linked to an earlier accepted text.
+def settle(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, accepted) of all texts in links: accepted unless linked to an earlier accepted text.
 
     Rounds: who has an accepted earlier partner is rejected, who has only rejected
     ones is accepted. The earliest undecided text is decided in every round.
     """
-    linked = links.select(F.col("a").alias("doc")).distinct()
-    state = nodes.select("doc", "batch").join(linked.withColumn("l", F.lit(True)), "doc", "left")
-    state = cut(state.select("doc", F.when((F.col("batch") == 0) | F.col("l").isNull(), True).alias("accepted")))
+    later = links.select(F.col("a").alias("doc")).distinct().withColumn("later", F.lit(True))
+    both = links.select(F.col("b").alias("doc")).unionByName(later.select("doc")).distinct()
+    state = cut(both.join(later, "doc", "left").select("doc", F.when(F.col("later").isNull(), True).alias("accepted")))
     while not state.filter("accepted IS NULL").isEmpty():
         seen = links.join(state.select(F.col("doc").alias("b"), F.col("accepted").alias("ok")), "b")
         said = seen.groupBy(F.col("a").alias("doc")).agg(F.max("ok").alias("any"), F.count_if(F.col("ok").isNull()).alias("open"))
@@ -219,34 +223,36 @@ def repeated_segments(accepted: DataFrame, incoming: DataFrame) -> DataFrame:
     at = F.col("timestamp").try_cast("timestamp").alias("at")
     old = accepted.select("segment_id", "customer_id", "text", F.lit(0).alias("batch"), at)
     new = incoming.select("segment_id", "customer_id", "text", F.coalesce("batch_no", F.lit(1)).cast("int").alias("batch"), at)
-    run = cut(entries(old.unionByName(new)))
-    same = ["customer_id", "digest"]
-    first = run.groupBy(*same).agg(F.min(_order()).alias("first"), F.min_by(F.struct("words", "sketch", "keys"), _order()).alias("e"), F.count(F.lit(1)).alias("n"))
-    docs = cut(first.select(*same, "first.*", "e.*", "n").withColumn("doc", F.monotonically_increasing_id()))
-
-    links = cut(verified(star_links(docs), docs))
-    searched = None
-    while True:
-        if searched is None:
-            todo = docs.filter("batch > 0").join(links.select(F.col("a").alias("doc")).distinct(), "doc", "left_anti")
-        else:
-            # Accepted only because the few links it has lead to rejected texts: it has to search for itself.
-            todo = docs.filter("batch > 0").join(state.filter("accepted"), "doc", "left_semi").join(searched, "doc", "left_anti")
-        todo = cut(todo)
-        if todo.isEmpty():
-            break
-        more = verified(wide_candidates(docs.filter("keys IS NOT NULL"), todo, widest_depth()), docs)
-        links = cut(links.unionByName(more).distinct())
-        searched = todo.select("doc") if searched is None else searched.unionByName(todo.select("doc"))
-        state = settle(docs, links)
-    if searched is None:
+    run = stored(entries(old.unionByName(new)).withColumn("doc", F.monotonically_increasing_id()))
+    rows = run.select("doc", "customer_id", "digest", F.struct(*_ORDER, "doc").alias("ord"))
+    first = rows.groupBy("customer_id", "digest").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = stored(rows.join(first, ["customer_id", "digest"]).select("doc", F.col("first.doc").alias("original")).filter("doc <> original"))
+    docs = run.join(small(copies.select("doc")), "doc", "left_anti")
+    keyed = docs.filter("keys IS NOT NULL")
+
+    links = stored(verified(star_links(keyed), docs))
+    # Whoever has no earlier partner yet searches by the short prefix.
+    todo = stored(keyed.filter("batch > 0").select("doc", "customer_id", "keys").join(small(stored(links.select(F.col("a").alias("doc")).distinct())), "doc", "left_anti"))
+    searched = todo.select("doc")
+    while not todo.isEmpty():
+        links = stored(links.unionByName(verified(wide_candidates(keyed, todo, widest_depth()), docs)).distinct())
         state = settle(docs, links)
-
-    names = docs.select("doc", F.col("segment_id").alias("repeats"), _order().alias("ord_b"))
-    kept = state.filter("accepted").select(F.col("doc").alias("b"))
-    targets = links.join(kept, "b").unionByName(docs.filter("n > 1").select(F.col("doc").alias("a"), F.col("doc").alias("b")).join(kept, "b"))
-    # A later text may be accepted too, where the earlier of the two was rejected: its copies repeat both.
-    targets = targets.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")).join(kept, "b")).distinct()
-    targets = targets.join(names.withColumnRenamed("doc", "b"), "b").join(docs.select(F.col("doc").alias("a"), *same), "a")
-    members = run.filter("batch > 0").select("segment_id", *same, _order().alias("ord"))
-    return members.join(targets, same).filter((F.col("ord_b") < F.col("ord")) & (F.col("segment_id") != F.col("repeats"))).select("segment_id", "repeats").distinct()
+        # Accepted only because the few links it has lead to rejected texts: it has to search for itself.
+        unsure = stored(state.filter("accepted").select("doc").join(searched, "doc", "left_anti"))
+        todo = stored(keyed.filter("batch > 0").select("doc", "customer_id", "keys").join(small(unsure), "doc", "left_semi"))
+        searched = searched.unionByName(todo.select("doc"))
+    state = settle(docs, links)
+
+    order = F.struct(*_ORDER)
+    kept = state.filter("accepted").select("doc")
+    rejected = state.filter("NOT accepted").select("doc")
+    originals = copies.select(F.col("original").alias("doc")).distinct().join(rejected, "doc", "left_anti")
+    # A text accepted later than its rejected partner is repeated by the copies that follow it.
+    both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    targets = both_ways.join(kept.withColumnRenamed("doc", "b"), "b").select("a", "b").unionByName(originals.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).distinct()
+    targets = stored(targets)
+    named = run.select(F.col("doc").alias("b"), F.col("segment_id").alias("repeats"), order.alias("ord_b")).join(small(targets), "b")
+    members = run.filter("batch > 0").select("doc", "segment_id", order.alias("ord")).join(small(copies), "doc", "left")
+    members = members.withColumn("a", F.coalesce("original", "doc"))
+    found = members.join(named, "a").filter((F.col("ord_b") < F.col("ord")) & (F.col("segment_id") != F.col("repeats")))
+    return found.select("segment_id", "repeats").distinct()
