@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import history, leaks, mapping, quality, splitting, tokenizing
+from voxloom.llm import history, leaks, mapping, quality, splitting, tokenizing, turns
 from voxloom.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece_no = 1").select("rec_id", "turn_pos").distinct()
 
 
+def p4_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.clean_turns(table(spark, d, "calls", "call_id", "landed_at", "turns"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_turns(spark, d).select("call_id", "turn_no", "speaker")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mapping.map_hints(table(spark, d, "calls", "call_id", "product_hint"), table(spark, d, "product_catalog"))
 
@@ -52,6 +60,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_turns": p4_turns,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
