@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import history, leaks, mapping, quality, splitting, tokenizing, turns
+from voxloom.llm import history, leaks, mapping, pii, quality, splitting, tokenizing, turns
 from voxloom.sources.tables import table
 
 
@@ -16,6 +16,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(pair[0].alias("segment_id_a"), pair[1].alias("segment_id_b")).distinct()
 
 
+def _free_texts(spark: SparkSession, d: str) -> DataFrame:
+    segments = table(spark, d, "segments", "segment_id", "text").toDF("rec_id", "text")
+    return segments.unionByName(table(spark, d, "evidence", "observation_id", "quote").toDF("rec_id", "text"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mentions(_free_texts(spark, d)).select("rec_id", F.col("redacted").alias("text"), F.size("found").alias("pii_redactions")).distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.mentions(_free_texts(spark, d)).select("rec_id", F.explode("found").alias("m"))
+    return found.select("rec_id", "m.pii_kind", "m.start_at").distinct()
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, d, "segments", "segment_id", "text"), table(spark, d, "calls", "call_id", "turns"))
 
@@ -58,6 +72,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
