@@ -1,11 +1,15 @@
-"""Core queries and the DuckDB statements that must give the same rows."""
+"""Core queries, each over its whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxloom.operators import drift, skew
+from voxloom.functions import text as T
+from voxloom.operators import catalog, dedupe, drift, evaluation, extraction, graph, intervals, issues, retrieval, routing, sampling, segmentation, skew
+from voxloom.oracles import ORACLES
+from voxloom.plans import daily
 from voxloom.session import cut
 from voxloom.sources.tables import table
 
@@ -55,25 +59,294 @@ def p5_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return drift.quarantine(_feed(spark, d))
 
 
-QUERIES = {
-    "p5_found": p5_found,
-    "p5_changes": p5_changes,
-    "p5_table": p5_table,
-    "p5_quarantine": p5_quarantine,
-    "p6_found": p6_found,
-    "p6_profile": p6_profile,
-}
+def issue_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return issues.issue_aggregate(table(spark, d, "observations"))
+
+
+def corroboration_report(spark: SparkSession, d: str) -> DataFrame:
+    return issues.corroboration_report(table(spark, d, "observations", *KEYS, "customer_id"))
+
+
+def issue_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return issues.issue_rollup(table(spark, d, "observations", *KEYS, "customer_id"))
+
+
+def evidence_top(spark: SparkSession, d: str) -> DataFrame:
+    return issues.evidence_top(table(spark, d, "evidence"))
+
+
+def dedupe_within_day(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe.within_day(table(spark, d, "segments", "day", *dedupe.KEY, "timestamp", "segment_id"))
+
+
+def dedupe_across_days(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe.across_days(table(spark, d, "segments", "day", *dedupe.KEY, "timestamp", "segment_id"))
+
+
+def seen_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe.seen_hashes(table(spark, d, "segments", "day", *dedupe.KEY))
+
+
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments", "segment_id", "text").select("segment_id", F.sha1("text").alias("hash")).distinct()
+
+
+def pii_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "segments", "segment_id", "text").distinct()
+    return docs.select("segment_id", *(T.dlp_count(F.col("text"), k).alias(k) for k, _, _ in T.DLP_PATTERNS if k != "credit_card"))
+
+
+def pii_redact(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence", "observation_id", "quote").select("observation_id", T.redact_patterns(F.col("quote")).alias("redacted")).distinct()
+
+
+def secret_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.contains_secret(F.col("text")).alias("has_secret"))
+
+
+def injection_scan(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "segments", "segment_id", "text").distinct().select("segment_id", T.injection_signatures(t).alias("signatures"), T.injection_risk(t).alias("risk"))
+
+
+def customer_channel(spark: SparkSession, d: str) -> DataFrame:
+    lines = T.speaker_lines(F.col("text"))
+    return table(spark, d, "segments", "segment_id", "text").distinct().select("segment_id", F.array_join(lines, " ").alias("spoken"), F.size(lines).alias("lines"))
+
+
+def catalog_unambiguous(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "product_catalog")
+    both = catalog.unambiguous(c, "generic_aliases").withColumn("kind", F.lit("generic"))
+    return both.unionByName(catalog.unambiguous(c, "versions").withColumn("kind", F.lit("version")))
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "segments", "segment_id", "text").distinct().toDF("key", "text")
+
+
+def product_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.resolve_products(_keyed(spark, d), table(spark, d, "product_catalog"))
+
+
+def product_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    hints = table(spark, d, "calls", "call_id", "product_hint").filter("product_hint <> ''").distinct().toDF("key", "text")
+    return catalog.fuzzy_products(hints, table(spark, d, "product_catalog"))
+
+
+def version_resolution(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "segments", "segment_id", "product_id", "text").filter("product_id IS NOT NULL").distinct().toDF("key", "product_id", "text")
+    return catalog.resolve_versions(rows, table(spark, d, "product_catalog"))
+
+
+def relevance_signals(spark: SparkSession, d: str) -> DataFrame:
+    return routing.relevance(table(spark, d, "segments", "segment_id", "text", "product_id", "product_confidence").distinct())
+
+
+def rule_observations(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.rule_observations(table(spark, d, "segments", "segment_id", "text", "product_id", "product_confidence", "attribution_confidence").distinct())
+
+
+def schema_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = extraction.schema_errors(table(spark, d, "observations"))
+    return rows.select(F.explode_outer("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def call_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turns")
+    return table(spark, d, "calls", "call_id", "turns").distinct().select("call_id", F.md5(segmentation.transcript(t)).alias("whole"), F.md5(segmentation.transcript(t, "customer")).alias("customer"), F.size(t).alias("n_turns"))
+
+
+def segment_calls(spark: SparkSession, d: str) -> DataFrame:
+    return segmentation.segment_calls(table(spark, d, "calls", "call_id", "customer_id", "timestamp", "region", "turns").distinct())
+
+
+def turn_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "calls", "call_id", "turns").distinct().select("call_id", F.posexplode("turns").alias("pos", "t")).select("call_id", "pos", F.col("t.speaker").alias("speaker"), F.col("t.text").alias("text"))
+    return dedupe.previous_turns(rows).select("call_id", "pos", F.md5("previous").alias("previous"))
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "calls", "call_id", "turns").distinct().select("call_id", F.posexplode("turns").alias("id", "t"))
+    starts = rows.select("call_id", "id", F.col("t.speaker").alias("speaker"), F.col("t.start_time").alias("start")).filter("start IS NOT NULL AND start < 1500")
+    w = Window.partitionBy("call_id").orderBy("start", "id")
+    return starts.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("start") + 10.0))
+
+
+def interval_attribution(spark: SparkSession, d: str) -> DataFrame:
+    spans = _spans(spark, d)
+    last = spans.groupBy("call_id").agg(F.max("end").alias("stop"))
+    tiles = last.select("call_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("stop") / 20).cast("int"))).alias("id")).select("call_id", "id", (F.col("id") * 20.0).alias("start"), (F.col("id") * 20.0 + 20.0).alias("end"))
+    return intervals.overlaps(spans.select("call_id", "id", "start", "end"), tiles, ["call_id"])
+
+
+def label_smoothing(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "calls", "call_id", "turns").distinct().select("call_id", F.posexplode("turns").alias("pos", "t")).select("call_id", "pos", F.col("t.speaker").alias("speaker"))
+    return intervals.smoothed(rows, ["call_id"], "pos", "speaker").select("call_id", "pos", "smoothed")
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.sessions(table(spark, d, "events", "user_id", "ts", "value"))
+
+
+def tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.tumbling(table(spark, d, "events", "ts", "event_type", "value"))
+
+
+def metrics_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    by = table(spark, d, "observations", "day", "input_tokens", "output_tokens").groupBy("day").agg(F.count(F.lit(1)).alias("observations"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    return by.unpivot("day", ["observations", "input_tokens", "output_tokens"], "metric", "value")
 
-ORACLES = {
-    "p6_found": """
-        SELECT product_id, issue_key FROM observations GROUP BY ALL
-        HAVING count(*) > 0.01 * (SELECT count(*) FROM observations)
-    """,
-    "p6_profile": """
-        SELECT product_id, issue_key, count(*) AS mentions, count(DISTINCT customer_id) AS customers,
-               min(CAST(timestamp AS TIMESTAMPTZ)) AT TIME ZONE 'UTC' AS first_at,
-               max(CAST(timestamp AS TIMESTAMPTZ)) AT TIME ZONE 'UTC' AS last_at,
-               round(CAST(sum(CAST(confidence AS DECIMAL(18, 9))) AS DOUBLE) / count(confidence) + 1e-9, 6) AS mean_confidence
-        FROM observations GROUP BY product_id, issue_key
-    """,
+
+def metrics_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return metrics_unpivot(spark, d).groupBy("day").pivot("metric", ["observations", "input_tokens", "output_tokens"]).max("value")
+
+
+def usage_by_extractor(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "observations", "extractor", "input_tokens", "output_tokens")
+    return rows.groupBy("extractor").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("input_tokens") > 0).alias("metered"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("tokens_out"))
+
+
+def event_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events", "event_type", "props").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("k").alias("kinds"), F.max("k").alias("top"))
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").filter("text IS NOT NULL")
+
+
+def _product_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "product_catalog", "product_id", "canonical_name").toDF("query_id", "query")
+
+
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(_docs(spark, d)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(_docs(spark, d), _product_queries(spark, d))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings", "vec_id", "embedding").toDF("doc_id", "vec")
+
+
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(spark, d)
+    return retrieval.dense(vectors, vectors.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
+    docs, asked = _docs(spark, d), _product_queries(spark, d)
+    lexical = retrieval.bm25(docs, asked)
+    hashed = retrieval.hashed_vectors(asked.toDF("doc_id", "text")).toDF("query_id", "vec")
+    return retrieval.fuse((lexical, 3.0), (retrieval.dense(retrieval.hashed_vectors(docs), hashed, keep=20), 1.0), keep=15)
+
+
+def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    docs, asked = _docs(spark, d), _product_queries(spark, d)
+    legs = retrieval.bm25(docs, asked), retrieval.bm25(docs, asked.withColumn("query", F.substring_index("query", " ", 2)))
+    return retrieval.fuse((legs[0], 1.0), (legs[1], 3.0), keep=15)
+
+
+def leg_weights(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.leg_weights(table(spark, d, "calls", "call_id", "product_hint").filter("product_hint IS NOT NULL").distinct().toDF("query_id", "query"))
+
+
+def topical_coverage(spark: SparkSession, d: str) -> DataFrame:
+    docs, asked = _docs(spark, d), _product_queries(spark, d)
+    return retrieval.coverage(docs, asked, retrieval.bm25(docs, asked))
+
+
+def ranking_measures(spark: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.bm25(_docs(spark, d), _product_queries(spark, d))
+    relevant = table(spark, d, "documents", "doc_id", "product_id").filter("product_id IS NOT NULL").select(F.col("product_id").alias("query_id"), "doc_id")
+    return evaluation.ranking_measures(ranked, relevant)
+
+
+def stale_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "title", "text", "status")
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    index = docs.filter("status = 'published'").select("doc_id", F.sha2(text, 256).alias("hash"), F.lit("hashed-256").alias("signature"))
+    return retrieval.stale_documents(docs, index, "hashed-256")
+
+
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "segments", "relevance", "route_reason").select(F.col("relevance").alias("score"), F.coalesce(F.col("route_reason").isin("relevance", "both"), F.lit(False)).cast("int").alias("label"))
+    return evaluation.threshold_sweep(rows)
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "observations", "call_id", "extractor", "issue_key").toDF("item_id", "annotator", "value")
+
+
+def annotator_kappa(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.cohen_kappa(_labels(spark, d), "rules-2", "model-a")
+
+
+def contested_items(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.contested(_labels(spark, d))
+
+
+def groundedness(spark: SparkSession, d: str) -> DataFrame:
+    quotes = table(spark, d, "evidence", "observation_id", "segment_id", "quote").distinct()
+    held = table(spark, d, "segments", "segment_id", "text").distinct()
+    return evaluation.groundedness(quotes.join(held, "segment_id", "left").select(F.col("observation_id").alias("claim_id"), F.col("quote").alias("claim"), F.col("text").alias("source")))
+
+
+def word_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "evidence", "observation_id", "quote").distinct().join(table(spark, d, "observations", "observation_id", "evidence").distinct(), "observation_id")
+    return evaluation.word_error_rate(found.toDF("key", "hypothesis", "reference"))
+
+
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified(table(spark, d, "segments", "segment_id", "relevance").distinct().toDF("id", "score"), 200)
+
+
+def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degree_by_kind(graph.edges(table(spark, d, "observations")))
+
+
+def graph_shared_modes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shared_modes(table(spark, d, "observations", *KEYS))
+
+
+def graph_blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    return graph.blast_radius(graph.edges(table(spark, d, "observations")), "version")
+
+
+def graph_hops(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hops_from(graph.edges(table(spark, d, "observations")), "region:EUR")
+
+
+def corpus_languages(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "source", "lang", "status", "n_chars")
+    return rows.cube("source", "status").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+def star_join(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n, *c: table(spark, d, n, *c)
+    lines = t("lineitem", "l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_returnflag")
+    orders = t("orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    where = t("customer", "c_custkey", "c_nationkey").join(t("nation", "n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region", "r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(where, F.col("o_custkey") == F.col("c_custkey")).join(t("part", "p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    money = F.col("l_extendedprice").cast("decimal(18,4)") * (1 - F.col("l_discount").cast("decimal(18,4)"))
+    return rows.groupBy("p_brand", "r_name").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("o_custkey").alias("customers"), F.count_if(F.col("l_returnflag") == "R").alias("denying"), F.round(F.sum(money).cast("double"), 2).alias("volume"))
+
+
+def daily_issues(spark: SparkSession, d: str) -> DataFrame:
+    return daily.daily_issues(table(spark, d, "calls"), table(spark, d, "product_catalog"), "all")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(issue_aggregate, corroboration_report, issue_rollup, evidence_top, dedupe_within_day, dedupe_across_days, seen_hashes, content_hashes),
+        *(pii_counts, pii_redact, secret_predicate, injection_scan, customer_channel, catalog_unambiguous, product_resolution, product_fuzzy, version_resolution),
+        *(relevance_signals, rule_observations, schema_gate, call_transcripts, segment_calls, turn_windows, interval_attribution, label_smoothing),
+        *(sessions, tumbling, metrics_unpivot, metrics_pivot, usage_by_extractor, event_counts, document_frequency, bm25_scores, dense_topk, hybrid_fusion, rank_fusion),
+        *(leg_weights, topical_coverage, ranking_measures, stale_documents, threshold_sweep, annotator_kappa, contested_items, groundedness, word_error_rate),
+        *(stratified_sample, graph_degrees, graph_shared_modes, graph_blast_radius, graph_hops, corpus_languages, star_join, daily_issues),
+        *(p5_found, p5_changes, p5_table, p5_quarantine, p6_found, p6_profile),
+    )
 }
