@@ -48,7 +48,7 @@ def dlp_count(text: Column, kind: str) -> Column:
     found = matches(text, pattern)
     if kind == "credit_card":
         digits = F.transform(found, lambda m: F.regexp_replace(m, r"[^0-9]", ""))
-        found = F.filter(digits, lambda d: (F.length(d) >= 13) & F.luhn_check(d))
+        found = F.filter(digits, lambda d: (F.length(d) >= 13) & F.call_function("luhn_check", d))
     return F.size(found)
 
 

@@ -74,7 +74,7 @@ def fuzzy_products(texts: DataFrame, catalog: DataFrame) -> DataFrame:
                 out.append((head, *best))
             yield pd.DataFrame([o for o in out if o[1]], columns=["head", "product_id", "confidence"])
 
-    heads = texts.select("key", F.substring(normalised(F.col("text")), 1, 60).alias("head"))
+    heads = texts.select("key", F.substring(normalised(F.col("text")), 1, 60).alias("head")).filter("head <> ''")
     matched = heads.select("head").distinct().mapInPandas(match, "head string, product_id string, confidence double")
     return heads.join(matched, "head").select("key", "product_id", "confidence")
 

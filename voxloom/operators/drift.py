@@ -276,7 +276,7 @@ def union_schema(headers: DataFrame, changes: DataFrame, preferred: tuple[str, .
     the schemas bound; beyond MOST_FIELDS this refuses.
     """
     kind = [F.count_if(F.col("kind") == k).alias(k) for k in LATTICE]
-    numeric = F.bool_and(F.forall("values", lambda v: v.rlike(_NUMBER.pattern)))
+    numeric = F.bool_and(F.forall("values", lambda v: v.rlike("^" + _NUMBER.pattern)))
     seen = headers.filter("field_path <> ''").groupBy("field_path").agg(F.count(F.lit(1)).alias("files"), numeric.alias("numeric"), *kind).limit(MOST_FIELDS + 1).collect()
     if len(seen) > MOST_FIELDS:
         raise ValueError(f"more than {MOST_FIELDS} distinct fields")

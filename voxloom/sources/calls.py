@@ -27,7 +27,14 @@ def partitions(spark: SparkSession, root: str, date: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, root: str, date: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(f"{root}/date={date}/_MANIFEST.json")
+    """The day's manifest, one small JSON object; file sources skip names with an underscore, so it is opened by itself."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/date={date}/_MANIFEST.json")
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    one = spark.createDataFrame([(text,)], "value string")
+    return one.select(F.from_json("value", F.schema_of_json(F.lit(text))).alias("m")).select("m.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

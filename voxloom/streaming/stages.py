@@ -22,14 +22,19 @@ def segment_stream(calls: DataFrame, late: str = "2 days") -> DataFrame:
     return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["customer_id", "content_hash"])
 
 
+def _instants(events: DataFrame) -> DataFrame:
+    """Watermarks need instants: times without a zone are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums by type in fixed windows; rows later than the watermark are dropped."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+    rows = _instants(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return rows.agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select("window.start", "window.end", "event_type", "events", "value")
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    rows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    rows = _instants(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w"))
     return rows.agg(F.count(F.lit(1)).alias("events")).select("user_id", "w.start", "w.end", "events")
 
 
