@@ -6,6 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A time mark at the start of a text, and the seconds a character above which a call's times are milliseconds.
+TIME_MARK = r"^\s*(?:[\[(<]?(?:(\d{1,2}):)?(\d{1,3}):(\d{2})(?:[.,](\d{1,3}))?[\])>]?|[\[(<]?(\d{1,3})m\s?(\d{1,2})s[\])>]?)"
+SLOWEST = 5.0
+
+
+def in_seconds(turns: DataFrame) -> DataFrame:
+    """Turns (call_id, id, text, start, ...) that have a time, with ``start`` in seconds; ``text`` is left out.
+
+    The median quotient of times and marks of a call tells its unit. Without marks
+    the median pace does: no talk takes SLOWEST seconds a character, and none in
+    milliseconds takes less. A call with neither stays as stored.
+    """
+    part = lambda k: F.regexp_extract("text", TIME_MARK, k).try_cast("double")
+    fraction = F.concat(F.lit("0."), F.nullif(F.regexp_extract("text", TIME_MARK, 4), F.lit(""))).try_cast("double")
+    clock = F.coalesce(part(1), F.lit(0.0)) * 3600 + part(2) * 60 + part(3) + F.coalesce(fraction, F.lit(0.0))
+    mark = F.coalesce(clock, part(5) * 60 + part(6))
+    call = Window.partitionBy("call_id")
+    rows = turns.filter("start IS NOT NULL AND NOT isnan(start) AND abs(start) < double('Infinity')")
+    rows = rows.withColumn("quotient", F.when((mark > 0) & (F.col("start") >= 0), F.col("start") / mark))
+    rows = rows.withColumn("pace", (F.lead("start").over(call.orderBy("start", "id")) - F.col("start")) / F.nullif(F.length("text"), F.lit(0)))
+    rows = rows.withColumn("quotient", F.median("quotient").over(call)).withColumn("pace", F.median("pace").over(call))
+    milli = F.coalesce((F.col("quotient") > 300) & (F.col("quotient") < 3000), F.col("pace") > SLOWEST, F.lit(False))
+    return rows.withColumn("start", F.when(milli, F.col("start") / 1000).otherwise(F.col("start"))).drop("quotient", "pace", "text")
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
     """Pairs of spans (id, start, end) of equal ``keys`` that overlap, with the seconds they share.
 

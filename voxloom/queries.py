@@ -167,7 +167,7 @@ def turn_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "calls", "call_id", "turns").distinct().select("call_id", F.posexplode("turns").alias("id", "t"))
-    starts = rows.select("call_id", "id", F.col("t.speaker").alias("speaker"), F.col("t.start_time").alias("start")).filter("start IS NOT NULL AND start < 1500")
+    starts = intervals.in_seconds(rows.select("call_id", "id", F.col("t.speaker").alias("speaker"), F.col("t.text").alias("text"), F.col("t.start_time").alias("start")))
     w = Window.partitionBy("call_id").orderBy("start", "id")
     return starts.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("start") + 10.0))
 
