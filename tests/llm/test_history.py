@@ -125,3 +125,7 @@ def test_runs_merge(spark):
 def test_depth_reaches_recall():
     s, d = history.pair_similarity(), history.widest_depth()
     assert 1 - (1 - s**d) ** history.TREES >= history.RECALL
+
+
+def test_search_reaches_95_of_100_least_similar_repeats():
+    assert 1 - (1 - history.pair_similarity() ** history.widest_depth()) ** history.TREES >= 0.95

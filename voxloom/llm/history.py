@@ -6,7 +6,7 @@ TREES permutations packs DEPTH of them into one sortable number, so texts that
 resemble each other share a prefix in some permutation. The forest of a run is kept
 as a table; runs are concatenated and merged by ``merge_runs``.
 
-A search takes the deepest prefixes first, in STAR_TREES of the permutations, and
+A search takes the deepest prefixes first and
 links an entry only to the earliest text of each range: a star, so a group of
 near-copies that holds a third of the rows costs one link a row and permutation. Entries that this leaves unsettled search
 again by the shortest prefix that still reaches RECALL for texts just similar
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from voxloom.llm.wording import spoken_words
 from voxloom.session import cut, small, stored
 
-TREES, DEPTH, STAR_TREES = 22, 4, 6
+TREES, DEPTH = 28, 4
 #: Share of the words that must be common in order, and share of such pairs that a search must find.
-SAME, RECALL = 0.8, 0.9
-#: Share of equal min-hashes below which a candidate is not compared word by word (over 2.5 deviations below the least similar repeat).
+SAME, RECALL = 0.8, 0.95
+#: Share of equal min-hashes below which a candidate is not compared word by word (3 deviations below the least similar repeat).
 SKETCH_FLOOR = 0.18
 #: Bytes of one side of all candidate pairs that may be broadcast; more are shuffled.
 SMALL_BYTES = 16_000_000
@@ -131,9 +131,9 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "segment_id string, customer_id string, batch int, at timestamp, digest binary, words binary, sketch binary, keys array<bigint>")
 
 
-def permutations(docs: DataFrame, depth: int, trees: int = TREES, extra: tuple[str, ...] = ()) -> DataFrame:
+def permutations(docs: DataFrame, depth: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc, range): the prefix of ``depth`` in each permutation, within a customer. Equal ranges are neighbours in sorted order."""
-    exploded = docs.select("doc", *extra, "customer_id", F.posexplode(F.slice("keys", 1, trees)).alias("tree", "key"))
+    exploded = docs.select("doc", *extra, "customer_id", F.posexplode("keys").alias("tree", "key"))
     prefix = F.shiftrightunsigned("key", 16 * (DEPTH - depth))
     return exploded.select("doc", *extra, F.xxhash64("customer_id", "tree", prefix).alias("range"))
 
@@ -151,7 +151,7 @@ _ORDER = ("batch", "at", "segment_id")
 
 def star_links(docs: DataFrame) -> DataFrame:
     """(a, b): each new text with the earliest text of every range it is in, by the deepest prefix."""
-    ranges = permutations(docs, DEPTH, STAR_TREES, ("batch", "at"))
+    ranges = permutations(docs, DEPTH, ("batch", "at"))
     earliest = ranges.groupBy("range").agg(F.min(F.struct("batch", "at", "doc")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     starred = ranges.filter("batch > 0").select("range", F.col("doc").alias("a")).join(earliest.select("range", F.col("first.doc").alias("b")), "range")
     return starred.filter("a <> b").select("a", "b").distinct()
