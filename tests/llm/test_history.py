@@ -129,3 +129,12 @@ def test_depth_reaches_recall():
 
 def test_search_reaches_95_of_100_least_similar_repeats():
     assert 1 - (1 - history.pair_similarity() ** history.widest_depth()) ** history.TREES >= 0.95
+
+
+def test_all_accepted_partners_are_named_after_the_first_search(spark):
+    """Near-copies in history: the first search meets the earliest of each range, the later ones count too."""
+    rng = random.Random(6)
+    base = words(rng, 80)
+    old = [(f"S{i}", "U", f"2026-03-0{i + 1}T00:00:00Z", " ".join(changed(rng, base, 0.02))) for i in range(4)]
+    new = [("N1", "U", "2026-03-09T00:00:00Z", " ".join(changed(rng, base, 0.02)), 1)]
+    assert run(spark, old, new) == brute(old, new) == {("N1", f"S{i}") for i in range(4)}

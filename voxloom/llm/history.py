@@ -10,7 +10,8 @@ A search takes the deepest prefixes first and
 links an entry only to the earliest text of each range: a star, so a group of
 near-copies that holds a third of the rows costs one link a row and permutation. Entries that this leaves unsettled search
 again by the shortest prefix that still reaches RECALL for texts just similar
-enough. All candidates are verified by the longest common subsequence of their
+enough. So do rejected entries once all is settled, against the accepted only, so that
+every accepted partner is named whichever search rejected them. All candidates are verified by the longest common subsequence of their
 words. Exact copies are one entry; copies never enter the search.
 
 Acceptance follows the order (batch, instant, id): a text is accepted unless an
@@ -242,14 +243,20 @@ def repeated_segments(accepted: DataFrame, incoming: DataFrame) -> DataFrame:
         todo = stored(keyed.filter("batch > 0").select("doc", "customer_id", "keys").join(small(unsure), "doc", "left_semi"))
         searched = searched.unionByName(todo.select("doc"))
     state = settle(docs, links)
+    # Rejected by the first search alone: it has met the earliest texts of its ranges, not all accepted ones.
+    # Which texts are accepted is settled, so these links name more partners and change no verdict.
+    partly = stored(state.filter("NOT accepted").select("doc").join(searched, "doc", "left_anti"))
+    if not partly.isEmpty():
+        mine = keyed.filter("batch > 0").select("doc", "customer_id", "keys").join(small(partly), "doc", "left_semi")
+        goal = keyed.join(state.filter("NOT accepted").select("doc"), "doc", "left_anti")
+        links = stored(links.unionByName(verified(wide_candidates(goal, mine, widest_depth()), docs)).distinct())
 
     order = F.struct(*_ORDER)
-    kept = state.filter("accepted").select("doc")
     rejected = state.filter("NOT accepted").select("doc")
     originals = copies.select(F.col("original").alias("doc")).distinct().join(rejected, "doc", "left_anti")
     # A text accepted later than its rejected partner is repeated by the copies that follow it.
     both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    targets = both_ways.join(kept.withColumnRenamed("doc", "b"), "b").select("a", "b").unionByName(originals.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).distinct()
+    targets = both_ways.join(rejected.withColumnRenamed("doc", "b"), "b", "left_anti").select("a", "b").unionByName(originals.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).distinct()
     targets = stored(targets)
     named = run.select(F.col("doc").alias("b"), F.col("segment_id").alias("repeats"), order.alias("ord_b")).join(small(targets), "b")
     members = run.filter("batch > 0").select("doc", "segment_id", order.alias("ord")).join(small(copies), "doc", "left")
