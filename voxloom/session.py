@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_OWN: set[str] = set()
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,10 +55,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder; all of an application's are deleted when its JVM ends."""
+    sc = spark.sparkContext
+    own = f"{ensure_checkpoint_dir(spark)}/{sc.applicationId}"
+    if own not in _OWN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -66,7 +82,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: later readers scan only the columns they use."""
-    place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    place = scratch(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
