@@ -116,19 +116,89 @@ def test_nulls_empties_repeats(spark):
     assert run(spark, [], []) == set()
 
 
-def test_runs_merge(spark):
-    rows = spark.createDataFrame([("A", "U", "one two three", 0), ("B", "U", "four five", 0)], "segment_id string, customer_id string, text string, batch int").selectExpr("*", "CAST(NULL AS timestamp) AS at")
-    one = history.entries(rows)
-    assert history.merge_runs(one, one).count() == 2
+def frames(spark, old, new):
+    pad = lambda rows: [(*r, "d", "w") for r in rows]
+    return spark.createDataFrame(pad([(*r, None) for r in old]), SCHEMA).drop("batch_no"), spark.createDataFrame(pad(new), SCHEMA)
+
+
+def drift_of(rng, old, n, batch):
+    out = []
+    for i in range(n):
+        base = rng.choice(old)
+        text = " ".join(changed(rng, base[3].split(), 0.1)) if i % 2 else " ".join(words(rng))
+        out.append((f"B{batch}-{i:03d}", base[1], f"2026-04-{batch:02d}T00:00:00Z", text, 1))
+    return out
+
+
+def test_batch_after_batch_reads_runs_only(spark, tmp_path):
+    """Two batches in turn, over extended, merged and reopened runs, equal one brute-force pass; no raw history is read."""
+    rng = random.Random(7)
+    old = [(f"S{i:03d}", f"U{i % 3}", "2026-03-01T00:00:00Z", " ".join(words(rng))) for i in range(60)]
+    one = drift_of(rng, old, 40, 1)
+    two = [(*r[:4], 2) for r in drift_of(rng, old + one, 40, 2)]
+    raw = tmp_path / "raw.parquet"
+    frames(spark, old, one)[0].write.parquet(str(raw))
+    run = history.build_run(spark.read.parquet(str(raw)), str(tmp_path / "run"))
+    for f in raw.glob("*"):
+        f.unlink()
+    first = history.check_batch(frames(spark, [], one)[1], run)
+    added = history.extended(first, str(tmp_path / "added"))
+    merged = history.merge_runs(run, added, place=str(tmp_path / "merged"))
+    want = brute(old, one + two)
+    assert {tuple(r) for r in first.found.collect()} == {p for p in want if p[0].startswith("B1")}
+    later = {p for p in want if p[0].startswith("B2")}
+    batch = frames(spark, [], two)[1]
+    for runs in ((run, added), (merged,), (history.open_run(spark, str(tmp_path / "merged")),)):
+        assert {tuple(r) for r in history.check_batch(batch, *runs).found.collect()} == later and later
+
+
+def test_forest_is_sorted_bucketed_and_not_exchanged(spark):
+    rng = random.Random(8)
+    old, new = frames(spark, [(f"S{i}", "U", "2026-03-01T00:00:00Z", " ".join(words(rng))) for i in range(50)], [("N", "U", None, "a b", 1)])
+    run = history.build_run(old)
+    met = history.lookup(history.signed(history._numbered(new, history.F.lit(1)), run.next_doc).heads, run, history.REACH)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    forest = next(i for i, line in enumerate(lines) if "forest_" in line)
+    before = next(i for i in range(forest - 1, 0, -1) if "Scan" in lines[i])
+    # From the forest up to the join nothing is exchanged.
+    assert run.forest.count() == 50 * history.TREES and "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert not any("Exchange" in line for line in lines[before + 1 : forest])
+    files = [spark.read.parquet(f).collect() for f in run.forest.inputFiles()]
+    for rows in files:
+        assert [(r.slot, r.code) for r in rows] == sorted((r.slot, r.code) for r in rows)
+    assert len(files) == len({r.slot for rows in files for r in rows} and files) and not {r.slot for r in files[0]} & {r.slot for f in files[1:] for r in f}
+
+
+def test_hot_ranges_are_spread_and_still_found(spark, monkeypatch):
+    rng = random.Random(9)
+    base = words(rng, 80)
+    old = [(f"S{i:03d}", "U", "2026-03-01T00:00:00Z", " ".join(changed(rng, base, 0.02))) for i in range(150)]
+    new = [("N1", "U", "2026-03-09T00:00:00Z", " ".join(changed(rng, base, 0.02)), 1)]
+    a, b = frames(spark, old, new)
+    run = history.build_run(a)
+    assert run.hot and run.forest.select("slot").distinct().count() > len(run.hot) * 4
+    assert {tuple(r) for r in history.check_batch(b, run).found.collect()} == brute(old, new)
+    assert len(brute(old, new)) == 150
 
 
-def test_depth_reaches_recall():
-    s, d = history.pair_similarity(), history.widest_depth()
-    assert 1 - (1 - s**d) ** history.TREES >= history.RECALL
+def test_three_near_copies_each_are_all_named(spark):
+    rng = random.Random(10)
+    old, new = [], []
+    for i in range(100):
+        base = words(rng, 80)
+        old += [(f"S{i:03d}{k}", "U", f"2026-03-0{k + 1}T00:00:00Z", " ".join(changed(rng, base, 0.04))) for k in range(3)]
+        new.append((f"N{i:03d}", "U", "2026-03-09T00:00:00Z", " ".join(changed(rng, base, 0.04)), 1))
+    want = brute(old, new)
+    assert len(want) == 300 and run(spark, old, new) == want
 
 
 def test_search_reaches_95_of_100_least_similar_repeats():
-    assert 1 - (1 - history.pair_similarity() ** history.widest_depth()) ** history.TREES >= 0.95
+    s, d = history.pair_similarity(), history.REACH
+    assert history.widening() == list(range(history.DEPTH, d - 1, -1))
+    assert 1 - (1 - s**d) ** history.TREES >= history.RECALL >= 0.95
 
 
 def test_all_accepted_partners_are_named_after_the_first_search(spark):
