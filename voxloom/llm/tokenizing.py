@@ -52,6 +52,15 @@ def _byte_alphabet() -> dict[str, int]:
     return alphabet
 
 
+def _grown(buffer: np.ndarray, used: int, needed: int) -> np.ndarray:
+    """The buffer, or one of at least twice its size with what is used of it."""
+    if needed <= len(buffer):
+        return buffer
+    out = np.empty(max(needed, 2 * len(buffer)), buffer.dtype)
+    out[:used] = buffer[:used]
+    return out
+
+
 class BytePairCodec:
     """Encoder over one vocabulary file (``tokenizers`` JSON with ``vocab`` and ``merges``)."""
 
@@ -88,8 +97,10 @@ class BytePairCodec:
         self._reset()
 
     def _reset(self) -> None:
+        """An empty cache: ids of all chunks in one buffer that doubles, with the start and the size of each chunk."""
         self.code: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat, self.filled = np.empty(1 << 20, np.int32), 0
+        self.start, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
     # -- verification -------------------------------------------------------
 
@@ -177,9 +188,17 @@ class BytePairCodec:
         split = {c: PRETOKEN.findall(c) for c in chunks}
         words = list(dict.fromkeys(chain.from_iterable(split.values())))
         ids = dict(zip(words, self.encode_words(words)[0], strict=True))
-        for c, parts in split.items():
-            self.code[c] = len(self.ids)
-            self.ids.append(self.public[np.fromiter(chain.from_iterable(ids[p] for p in parts), np.int64)])
+        per_chunk = [list(chain.from_iterable(ids[p] for p in parts)) for parts in split.values()]
+        fresh = self.public[np.fromiter(chain.from_iterable(per_chunk), np.int64)]
+        first, last = len(self.code), len(self.code) + len(per_chunk)
+        self.flat = _grown(self.flat, self.filled, self.filled + len(fresh))
+        self.start, self.size = _grown(self.start, first, last), _grown(self.size, first, last)
+        sizes = np.fromiter(map(len, per_chunk), np.int64, len(per_chunk))
+        self.size[first:last] = sizes
+        self.start[first:last] = self.filled + np.cumsum(sizes) - sizes
+        self.flat[self.filled : self.filled + len(fresh)] = fresh
+        self.filled += len(fresh)
+        self.code.update(zip(split, range(first, last), strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, values) of the ids of each text."""
@@ -191,12 +210,9 @@ class BytePairCodec:
         get = self.code.__getitem__
         codes = np.fromiter(map(get, chain.from_iterable(per_text)), np.int64)
         n_chunks = np.fromiter(map(len, per_text), np.int64, len(per_text))
-        sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
-        each = sizes[codes] if len(codes) else np.empty(0, np.int64)
+        each = self.size[codes]
         ends = np.cumsum(each)
-        values = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - each), each)] if len(codes) else flat[:0]
+        values = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[codes] - (ends - each), each)]
         bounds = np.concatenate([[0], np.cumsum(n_chunks)])
         offsets = np.concatenate([[0], ends])[bounds]
         return offsets, values
