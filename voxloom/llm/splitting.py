@@ -3,8 +3,8 @@
 Recursive separator hierarchy: a text falls into sections (speaker turns, blank
 lines), these into lines, sentences, words and at last characters, each level only
 where a unit is still too long. Units are packed greedily; a piece after the first
-starts with the end of the one before, from the most natural place within the
-overlap. All work is on offsets, so pieces always quote the text exactly.
+starts with the end of the one before, from the most natural place in the first half
+of the overlap, or else in the second. All work is on offsets, so pieces always quote the text exactly.
 
 Defined results: null texts and texts within the limit give no pieces; offsets and
 lengths count code points; repeated rows of the input give equal rows once.
@@ -51,10 +51,12 @@ def _overlap_start(text: str, start: int, end: int, overlap: int) -> int:
     low = max(start, end - overlap)
     if low == start:
         return low
-    for sep in SEPARATORS:
-        for m in sep.finditer(text, max(start, low - 4), end):
-            if low <= m.end() < end:
-                return m.end()
+    # In the first half of what may be quoted if there is such a place, so that quotations are not needlessly short.
+    for first, last in ((low, low + overlap // 2), (low + overlap // 2 + 1, end - 1)):
+        for sep in SEPARATORS:
+            for m in sep.finditer(text, max(start, low - 4), end):
+                if first <= m.end() <= last:
+                    return m.end()
     return low
 
 
