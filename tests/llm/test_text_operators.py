@@ -121,11 +121,28 @@ def test_leaked_items(spark):
     }
     docs = spark.createDataFrame([(k, " ".join(w), "x") for k, w in cases.items()] + [(7, None, "x"), (8, "", "x"), (9, "  ", "x"), (1, " ".join(cases[1]), "x"), (10, "w1 " * 200_000, "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(100, " ".join(item), "s"), (100, " ".join(item), "s"), (101, None, "s"), (102, "", "s"), (103, "two words", "s")], "item_id long, item_text string, doc_id string")
-    found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items).collect()}
-    assert found == {(1, 100), (2, 100), (4, 100), (6, 100)}
+    rows = leaks.leaked_items(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows if r.passage_share >= leaks.SHARE} == {(1, 100), (2, 100), (4, 100), (6, 100)}
+    # In any order the tiles cover the reordered one whole.
+    assert {(r.doc_id, r.cover) for r in rows if r.passage_share < leaks.SHARE} == {(5, 1.0)}
     assert leaks.leaked_items(docs.limit(0), items).count() == 0 and leaks.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found(spark):
+    texts = {1: "the quick brown fox jumps", 2: "a quick fox", 3: "Yes!", 4: "one two three four five six", 5: "no"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "quick brown fox"), (2, "yes"), (3, "zero two three four nine ten"), (4, "never seen here")], "item_id long, item_text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items).filter("passage_share >= 0.5").collect()} == {(1, 1), (3, 2), (4, 3)}
+
+
+def test_a_quotation_elsewhere_takes_no_words_from_the_passage():
+    item = [f"w{i}" for i in range(100)]
+    passage = [w if k % 10 else "changed" for k, w in enumerate(item)]
+    block = leaks.ItemBlock([7], [" ".join(item)])
+    ((_, _, cover, share),) = block.find([(1, " ".join([*passage, *(f"n{i}" for i in range(50)), *item[40:60]]))])
+    assert cover >= 0.9 and share >= 0.9
+
+
 def test_blocks_of_items_find_the_same(spark, monkeypatch):
     texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(9)]
     docs = spark.createDataFrame([(k, "x " + t + " y") for k, t in enumerate(texts)], "doc_id long, text string")

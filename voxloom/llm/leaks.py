@@ -5,13 +5,18 @@ numbers, with one shared number for any word that no item has. Fixed-length seed
 of both sides are hashed with a Karp-Rabin polynomial and joined on the hash; a
 (document, item) pair whose seeds cover enough of the item is tiled: of the
 remaining matches the longest is marked again and again, never overlapping a
-marked one, so reordered and interrupted passages are covered too. The coverage
-decides; for what counts as a leak the tiles must also form one passage in order.
+marked one, so reordered and interrupted passages are covered too. Each neighbourhood
+of diagonals is also tiled by itself, so that a quotation elsewhere in the document
+takes no words from a passage in order; there only words that match count.
 
 The items are the small side: they are cut into blocks of bounded size, each block
 is sent to the executors once, and documents stream past it. Documents are never
 shuffled and never cut.
 
+Seeds are as long as half of an item that is shorter than two of them, so items of
+any length are found. A row is given for each pair of which the tiles in any order or
+one passage in order cover at least SHARE of the item; both shares are reported.
+
 Defined results: null, empty and blank texts and items without words give no row;
 repeated documents give equal rows once; an empty table on either side gives none.
 """
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile(r"[^\W_]+")
-#: Words in a seed.
+#: Words in a seed, at most.
 SEED = 4
 #: Words of items in one block that is sent to the executors (8 bytes a seed).
 BLOCK_WORDS = 2_000_000
@@ -94,8 +99,8 @@ def greedy_tiles(seeds: list[tuple[int, int]], doc_size: int, item_size: int, sh
     return tiles
 
 
-def passage(tiles: list[tuple[int, int, int]], doc: np.ndarray, item: np.ndarray) -> int:
-    """Words of the item spanned by the best chain of tiles in order with few changed words.
+def passage(tiles: list[tuple[int, int, int]], doc: np.ndarray, item: np.ndarray, *, changed_too: bool = True) -> int:
+    """Words of the item spanned, or those matched, by the best chain of tiles in order with few changed words.
 
     Between two tiles of a chain the item and the document go on by nearly as many
     words; those of the item count as changed where they differ.
@@ -116,7 +121,7 @@ def passage(tiles: list[tuple[int, int, int]], doc: np.ndarray, item: np.ndarray
         for start, got in own.items():
             span = j + n - start
             if span - got <= CHANGED * span + SLACK:
-                best = max(best, span)
+                best = max(best, span if changed_too else got)
     return best
 
 
@@ -129,50 +134,65 @@ class ItemBlock:
         self.ids = ids
         self.items = [np.array([self.vocabulary[w] for w in s], np.int64) for s in split]
         self.sizes = np.array([len(s) for s in split], np.int64)
-        hashes, owner, place = [], [], []
-        for k, item in enumerate(self.items):
-            h = rolling_hash(item, min(SEED, max(1, len(item))))
-            hashes.append(h), owner.append(np.full(len(h), k)), place.append(np.arange(len(h)))
-        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int64)
-        self.distinct, self.first = np.unique(self.hashes, return_index=True)
-        self.count = np.diff(np.append(self.first, len(self.hashes)))
+        self.widths = np.minimum(SEED, np.maximum(1, np.ceil(SHARE * self.sizes).astype(np.int64)))
+        self.index = {}
+        for width in sorted(set(self.widths[self.sizes > 0].tolist())):
+            owners = np.flatnonzero((self.widths == width) & (self.sizes > 0))
+            hashes = [rolling_hash(self.items[k], width) for k in owners]
+            owner, place = np.repeat(owners, [len(h) for h in hashes]), np.concatenate([np.arange(len(h)) for h in hashes])
+            flat = np.concatenate(hashes)
+            order = np.argsort(flat, kind="stable")
+            distinct, first = np.unique(flat[order], return_index=True)
+            self.index[width] = (distinct, first, np.diff(np.append(first, len(flat))), owner[order], place[order])
 
     def find(self, docs: list[tuple[object, str | None]]) -> Iterator[tuple[object, object, float, float]]:
-        """(doc id, item id, share covered by tiles, share of the passage in order) of leaks."""
+        """(doc id, item id, share covered by tiles in any order, share of the passage in order) where either reaches SHARE."""
         get = self.vocabulary.get
         for doc_id, text in docs:
             seq = np.array([get(w, 0) for w in words(text)], np.int64)
-            if len(seq) < SEED or not len(self.distinct):
-                continue
-            h = rolling_hash(seq, SEED)
-            at = np.minimum(np.searchsorted(self.distinct, h), len(self.distinct) - 1)
-            hit = np.flatnonzero(self.distinct[at] == h)
-            if not len(hit):
-                continue
-            at = at[hit]
-            n = self.count[at]
-            rows = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            owner, place = self.owner[rows], self.place[rows]
-            # A passage in order lies on neighbouring diagonals: seeds are counted in overlapping bands of them.
-            spot = np.repeat(hit, n)
-            diagonal = spot - place + int(self.sizes.max())
-            seen = set()
-            for shift in (0, BAND // 2):
-                band = owner << 40 | (diagonal + shift) // BAND
-                keys, seeds = np.unique(band, return_counts=True)
-                seen.update((keys[seeds >= np.maximum(SEED_COVER * self.sizes[keys >> 40] - SEED, 1)] >> 40).tolist())
-            for k in sorted(seen):
-                own = owner == k
-                seeds = list(zip(spot[own].tolist(), place[own].tolist(), strict=True))
-                tiles = greedy_tiles(seeds, len(seq), int(self.sizes[k]), SEED)
-                cover = sum(t[2] for t in tiles) / self.sizes[k]
-                span = passage(tiles, seq, self.items[k]) / self.sizes[k]
-                if span >= SHARE:
-                    yield doc_id, self.ids[k], float(cover), float(span)
+            for width in self.index:
+                yield from ((doc_id, *r) for r in self._pairs(seq, width))
+
+    def _pairs(self, seq: np.ndarray, width: int) -> Iterator[tuple[object, float, float]]:
+        distinct, first, count, owners, places = self.index[width]
+        h = rolling_hash(seq, width)
+        at = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
+        hit = np.flatnonzero(distinct[at] == h)
+        if not len(hit):
+            return
+        at = at[hit]
+        n = count[at]
+        rows = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        owner, place = owners[rows], places[rows]
+        # A passage in order lies on neighbouring diagonals: seeds are counted in overlapping bands of them.
+        spot = np.repeat(hit, n)
+        diagonal = spot - place + int(self.sizes.max())
+        bands: dict[int, list[tuple[int, int]]] = {}
+        for shift in (0, BAND // 2):
+            band = owner << 40 | (diagonal + shift) // BAND
+            keys, seeds = np.unique(band, return_counts=True)
+            for key in keys[seeds >= np.maximum(SEED_COVER * self.sizes[keys >> 40] - width, 1)].tolist():
+                bands.setdefault(key >> 40, []).append((shift, key & (1 << 40) - 1))
+        # Pieces in any order: tiles cover at most what seeds cover.
+        seeded = np.unique(owner << 40 | place)
+        covered = np.minimum(np.append(np.diff(seeded), width), width)
+        reached, start = np.unique(seeded >> 40, return_index=True)
+        spread = reached[np.add.reduceat(covered, start) >= SHARE * self.sizes[reached]].tolist()
+        for k in sorted({*bands, *spread}):
+            own = np.flatnonzero(owner == k)
+            size = int(self.sizes[k])
+            pairs = list(zip(spot[own].tolist(), place[own].tolist(), strict=True))
+            tiles = greedy_tiles(pairs, len(seq), size, width)
+            cover, span = sum(t[2] for t in tiles), passage(tiles, seq, self.items[k])
+            for shift, band in bands.get(k, ()):
+                if span >= SHARE * size:
+                    break
+                near = own[(diagonal[own] + shift) // BAND == band]
+                if len(near) < len(own):
+                    alone = list(zip(spot[near].tolist(), place[near].tolist(), strict=True))
+                    span = max(span, passage(greedy_tiles(alone, len(seq), size, width), seq, self.items[k], changed_too=False))
+            if max(cover, span) >= SHARE * size:
+                yield self.ids[k], float(cover / size), float(span / size)
 
 
 @lru_cache(maxsize=2)
@@ -194,7 +214,7 @@ def _blocks(items: DataFrame) -> Iterator[tuple[tuple, tuple]]:
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id``, ``item_id``, ``cover`` (by tiles in any order) and ``passage_share`` of each leak."""
+    """``doc_id``, ``item_id``, ``cover`` (by tiles in any order) and ``passage_share`` where either is at least SHARE."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter(F.length("text") > 0)
     items = items.select("item_id", "item_text").dropna().distinct()

@@ -59,7 +59,7 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+    return p9_leaks(spark, d).filter(F.col("passage_share") >= leaks.SHARE).select("doc_id", "item_id").distinct()
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
