@@ -1,6 +1,7 @@
 import json
 
-from voxloom.operators.drift import compare_headers, consistent_table, file_changes, file_headers, promote, quarantine, union_schema
+from voxloom.operators import drift
+from voxloom.operators.drift import compare_headers, consistent_table, file_changes, file_headers, promote, quarantine, summary_of, union_schema
 
 SCHEMA = "feed_name string, file_no int, line_no int, payload string, extra string, kind string"
 
@@ -55,10 +56,34 @@ def test_empty(spark):
 
 
 def test_compare_needs_name_or_telling_values():
-    a = {"relevance": ("number", ["0.5", "0.7"])}
-    assert [c[0] for c in compare_headers(a, {"product_confidence": ("number", ["0.5", "0.7"])})] == ["added", "removed"]
-    assert compare_headers(a, {"relevance_score": ("string", ["0.4", "0.9"])})[0][0] == "renamed"
-    assert compare_headers({"redactions": ("number", ["1", "9"])}, {"pii_count": ("number", ["2", "9"])}, {"redactions": "x", "pii_count": "x"})[0][0] == "renamed"
+    a = {"relevance": ("number", summary_of(["0.5", "0.7"]))}
+    assert [c[0] for c in compare_headers(a, {"product_confidence": ("number", summary_of(["0.5", "0.7"]))})] == ["added", "removed"]
+    assert compare_headers(a, {"relevance_score": ("string", summary_of(["0.4", "0.9"]))})[0][0] == "renamed"
+    assert compare_headers({"redactions": ("number", summary_of(["1", "9"]))}, {"pii_count": ("number", summary_of(["2", "9"]))}, {"redactions": "x", "pii_count": "x"})[0][0] == "renamed"
+
+
+def test_summaries_cover_all_values_in_any_order():
+    """One text among thousands of numbers is counted, and sketches of parts give those of the whole."""
+    values = [str(i) for i in range(5000)] + ["no number"] + [f"A-{i:05d}" for i in range(3000)]
+    whole = summary_of(values)
+    for step in (2, 7):
+        parts = [summary_of(values[k::step]) for k in range(step)]
+        merged = parts[0]
+        for p in reversed(parts[1:]):
+            merged = merged.merge(p)
+        assert merged == whole
+    assert whole.n == len(values) and whole.numbers == 5000 and len(whole.values) == drift.SKETCH
+    other = summary_of([f"A-{i:05d}" for i in range(1500, 4500)])
+    half = summary_of([f"A-{i:05d}" for i in range(3000)])
+    x, y = drift._comparable(half.values, other.values)
+    assert 0.3 < len(x.keys() & y.keys()) / min(len(x), len(y)) < 0.7
+
+
+def test_a_text_past_many_numbers_keeps_the_column_text(spark):
+    df = feed(spark, {("f", 1): [{"a": str(i)} for i in range(300)] + [{"a": "none"}]})
+    headers = file_headers(df)
+    names, types = union_schema(headers, file_changes(headers))
+    assert types["a"] == "string" and consistent_table(df, names, types).filter("a = 'none'").count() == 1
 
 
 def test_lattice():

@@ -40,6 +40,16 @@ def test_matches_brute_force_with_a_hot_key(spark, partitions):
         assert got[k][4] == pytest.approx(want[k][4], abs=1e-8)
 
 
+def test_runs_are_carried_over_batches(spark):
+    """Small batches: a key has one state for each partition that it touches, and the same result."""
+    rows = [("A" if i % 4 else f"B{i % 9}", "x", f"U{i % 70:02d}" if i % 5 else None, f"2026-03-{1 + i % 28:02d}T10:00:00Z", i % 10 / 10, i) for i in range(900)]
+    whole = {tuple(r) for r in profile(spark, rows, 3).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    small = {tuple(r) for r in profile(spark, rows, 3).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == whole and {r[:2] + (r[3],) for r in small} == {(*k, v[1]) for k, v in brute(rows).items()}
+
+
 def test_empty_and_all_null(spark):
     assert profile(spark, [], 4).count() == 0
     (row,) = profile(spark, [(None, None, None, "no time", None, 1)] * 3, 4).collect()

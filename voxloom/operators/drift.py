@@ -1,7 +1,9 @@
 """One table from files whose schemas drift, and a log of every change.
 
 Each file's schema is read from its own records in one parallel pass: which fields
-hold values, of which types, and small samples of the values as they are written.
+hold values, of which types, and a summary of all values as they are written: how many
+are numbers, whole numbers or times, the largest, and sketches of the values and of
+their shapes, which keep those with the smallest hashes and so do not depend on order.
 Consecutive files of a feed are compared on these headers alone. Types are folded
 through a promotion lattice, names through the renames that were found, and all
 records are cast to the union schema.
@@ -15,10 +17,13 @@ empty results.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,47 +93,132 @@ def read_record(payload: str | None) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-def file_headers(feed: DataFrame, *, nested: str = "turns", sample: int = 64) -> DataFrame:
-    """(feed_name, file_no, field_path, n, kinds, values): the schema of each file.
+#: Hashes that a sketch keeps; with fewer distinct values it holds them all.
+SKETCH = 256
+#: Fields whose summaries a task holds before it hands them on.
+HELD_FIELDS = 20_000
 
-    Partial headers are made where the records lie, then merged by file and field,
-    so a feed that holds a third of the records is no hot group. ``values`` is a
-    sample of at most ``sample`` written values for recognising renamed fields.
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _smallest(sketch: dict[int, int]) -> dict[int, int]:
+    return sketch if len(sketch) <= SKETCH else {h: sketch[h] for h in sorted(sketch)[:SKETCH]}
+
+
+@dataclass
+class Summary:
+    """All written values of a field in a file; empty ones are counted as ``blank`` alone."""
+
+    n: int = 0
+    blank: int = 0
+    times: int = 0
+    numbers: int = 0
+    whole: int = 0
+    top: float = 0.0
+    values: dict[int, int] = field(default_factory=dict)
+    shapes: dict[int, int] = field(default_factory=dict)
+
+    def add(self, written: Counter) -> Summary:
+        values, shapes = Counter(self.values), Counter(self.shapes)
+        for v, n in written.items():
+            if not v:
+                self.blank += n
+                continue
+            self.n += n
+            self.times += n * bool(_TIME.match(v))
+            if _NUMBER.match(v):
+                x = float(v)
+                self.numbers += n
+                self.whole += n * x.is_integer()
+                self.top = max(self.top, abs(x))
+            values[_hash(v)] += n
+            shapes[_hash(_shape(v))] += n
+        self.values, self.shapes = _smallest(values), _smallest(shapes)
+        return self
+
+    def merge(self, other: Summary) -> Summary:
+        # A hash among the smallest of the whole is among the smallest of each part that has it, so its count is complete.
+        return Summary(
+            self.n + other.n, self.blank + other.blank, self.times + other.times, self.numbers + other.numbers, self.whole + other.whole, max(self.top, other.top),
+            _smallest(Counter(self.values) + Counter(other.values)), _smallest(Counter(self.shapes) + Counter(other.shapes)),
+        )
+
+
+_SUMMARY = pa.struct([("n", pa.int64()), ("blank", pa.int64()), ("times", pa.int64()), ("numbers", pa.int64()), ("whole", pa.int64()), ("top", pa.float64()), ("values", pa.map_(pa.int64(), pa.int64())), ("shapes", pa.map_(pa.int64(), pa.int64()))])
+_SUMMARY_SQL = "struct<n: bigint, blank: bigint, times: bigint, numbers: bigint, whole: bigint, top: double, values: map<bigint,bigint>, shapes: map<bigint,bigint>>"
+
+
+def _written(summary: Summary) -> dict:
+    return vars(summary) | {"values": sorted(summary.values.items()), "shapes": sorted(summary.shapes.items())}
+
+
+def _read(row: dict) -> Summary:
+    return Summary(**{**row, "values": dict(row["values"]), "shapes": dict(row["shapes"])})
+
+
+def summary_of(values: list[str]) -> Summary:
+    return Summary().add(Counter(values))
+
+
+def file_headers(feed: DataFrame, *, nested: str = "turns") -> DataFrame:
+    """(feed_name, file_no, field_path, summary, kind, n): the schema of each file.
+
+    Partial headers are made where the records lie, one for each field of a file in a
+    task, then merged by file and field, so a feed that holds a third of the records
+    is no hot group.
     """
     rows = feed.select("feed_name", "file_no", "payload")
+    names = ["feed_name", "file_no", "field_path", *LATTICE, "summary"]
+
+    def emit(kinds: dict[tuple, Counter], summaries: dict[tuple, Summary], readable: Counter) -> pa.RecordBatch:
+        # The path "" stands for the file itself, so that files without any field still take their place.
+        every = [*((k, c) for k, c in kinds.items()), *(((*f, ""), Counter(object=n)) for f, n in readable.items())]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k, _ in every], pa.string()),
+                pa.array([k[1] for k, _ in every], pa.int32()),
+                pa.array([k[2] for k, _ in every], pa.string()),
+                *(pa.array([c[kind] for _, c in every], pa.int64()) for kind in LATTICE),
+                pa.array([_written(summaries.get(k) or Summary()) for k, _ in every], _SUMMARY),
+            ],
+            names,
+        )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds: dict[tuple, Counter] = defaultdict(Counter)
-            seen: dict[tuple, dict[str, None]] = defaultdict(dict)
-            readable: Counter = Counter()
-            for name, no, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                record = read_record(payload)
-                readable[name, no] += record is not None
-                if record is None:
-                    continue
-                for path, value in _values(record, nested):
-                    if (kind := kind_of(value)) is None:
+        kinds: dict[tuple, Counter] = defaultdict(Counter)
+        summaries: dict[tuple, Summary] = defaultdict(Summary)
+        readable: Counter = Counter()
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                seen: dict[tuple, Counter] = defaultdict(Counter)
+                for name, no, payload in zip(*(c.to_pylist() for c in whole.slice(start, 2000).columns), strict=True):
+                    record = read_record(payload)
+                    readable[name, no] += record is not None
+                    if record is None:
                         continue
-                    at = (name, no, path)
-                    kinds[at][kind] += 1
-                    if len(seen[at]) < sample:
-                        seen[at].update(dict.fromkeys(_scalars(value)[:8]))
-            # The path "" stands for the file itself, so that files without any field still take their place.
-            every = [*((k, c) for k, c in kinds.items()), *(((*f, ""), Counter(object=n)) for f, n in readable.items())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k, _ in every], pa.string()),
-                    pa.array([k[1] for k, _ in every], pa.int32()),
-                    pa.array([k[2] for k, _ in every], pa.string()),
-                    *(pa.array([c[kind] for _, c in every], pa.int64()) for kind in LATTICE),
-                    pa.array([list(seen[k])[:sample] for k, _ in every], pa.list_(pa.string())),
-                ],
-                ["feed_name", "file_no", "field_path", *LATTICE, "values"],
-            )
-
-    partial = rows.mapInArrow(scan, "feed_name string, file_no int, field_path string, " + ", ".join(f"`{k}` bigint" for k in LATTICE) + ", values array<string>")
-    merged = partial.groupBy("feed_name", "file_no", "field_path").agg(*(F.sum(k).alias(k) for k in LATTICE), F.slice(F.array_distinct(F.flatten(F.collect_list("values"))), 1, sample).alias("values"))
+                    for path, value in _values(record, nested):
+                        if (kind := kind_of(value)) is not None:
+                            kinds[name, no, path][kind] += 1
+                            seen[name, no, path].update(_scalars(value))
+                for at, written in seen.items():
+                    summaries[at].add(written)
+                if len(summaries) > HELD_FIELDS:
+                    yield emit(kinds, summaries, readable)
+                    kinds.clear(), summaries.clear(), readable.clear()
+        yield emit(kinds, summaries, readable)
+
+    counts = ", ".join(f"`{k}` bigint" for k in LATTICE)
+    partial = rows.mapInArrow(scan, f"feed_name string, file_no int, field_path string, {counts}, summary {_SUMMARY_SQL}")
+    parts = partial.groupBy("feed_name", "file_no", "field_path").agg(*(F.sum(k).alias(k) for k in LATTICE), F.collect_list("summary").alias("parts"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_written(reduce(Summary.merge, map(_read, p))) for p in b.column(len(names) - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, _SUMMARY)], names)
+
+    merged = parts.mapInArrow(merge, f"feed_name string, file_no int, field_path string, {counts}, summary {_SUMMARY_SQL}")
     most = F.greatest(*LATTICE)
     # Most values decide; with a tie the wider type, which is the later one.
     kind = F.coalesce(*(F.when(F.col(k) == most, F.lit(k)) for k in reversed(LATTICE)))
@@ -143,31 +233,36 @@ def _shape(value: str) -> str:
     """A written value with runs of letters and of digits made alike; long hexadecimal strings are one kind."""
     if re.fullmatch(r"[0-9a-f]{16,}", value):
         return f"hex{len(value)}"
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value[:60]))
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value))
+
+
+_PLAIN_SHAPES = frozenset(map(_hash, ("a", "a a")))
+
 
+def _comparable(x: dict[int, int], y: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """Two sketches below the hash up to which both are complete."""
+    last = min((max(s) for s in (x, y) if len(s) >= SKETCH), default=None)
+    return (x, y) if last is None else ({h: n for h, n in x.items() if h <= last}, {h: n for h, n in y.items() if h <= last})
 
-def value_likeness(a: list[str], b: list[str]) -> tuple[float, bool]:
-    """How far two samples look like values of one field, and whether such values tell fields apart."""
-    a, b = [v for v in a if v], [v for v in b if v]
-    if not a or not b:
+
+def value_likeness(a: Summary, b: Summary) -> tuple[float, bool]:
+    """How far two summaries look like values of one field, and whether such values tell fields apart."""
+    if not a.n or not b.n:
         return 0.0, False
-    part = lambda vs, p: sum(bool(p.match(v)) for v in vs) / len(vs)
-    if part(a, _TIME) > 0.8 and part(b, _TIME) > 0.8:
+    if a.times > 0.8 * a.n and b.times > 0.8 * b.n:
         return 1.0, True
-    na, nb = part(a, _NUMBER), part(b, _NUMBER)
+    na, nb = a.numbers / a.n, b.numbers / b.n
     if min(na, nb) > 0.8:
-        x, y = ([float(v) for v in vs if _NUMBER.match(v)] for vs in (a, b))
-        whole = abs(sum(v.is_integer() for v in x) / len(x) - sum(v.is_integer() for v in y) / len(y))
-        top, top2 = max(map(abs, x)), max(map(abs, y))
-        return (1 - whole) * (min(top, top2) + 1e-9) / (max(top, top2) + 1e-9), False
+        whole = abs(a.whole / a.numbers - b.whole / b.numbers)
+        return (1 - whole) * (min(a.top, b.top) + 1e-9) / (max(a.top, b.top) + 1e-9), False
     if max(na, nb) > 0.8:
         return 0.0, False
-    x, y = set(a), set(b)
-    shared = len(x & y) / min(len(x), len(y))
-    sa, sb = Counter(map(_shape, a)), Counter(map(_shape, b))
-    plain = {"a", "a a"}
-    alike = sum(min(sa[k] / len(a), sb[k] / len(b)) for k in sa if k not in plain)
-    return max(shared, alike), True
+    x, y = _comparable(a.values, b.values)
+    shared = len(x.keys() & y.keys()) / max(1, min(len(x), len(y)))
+    sx, sy = _comparable(a.shapes, b.shapes)
+    held = max(sum(sx.values()) / a.n, sum(sy.values()) / b.n, 1e-9) if (len(sx), len(sy)) != (len(a.shapes), len(b.shapes)) or max(len(sx), len(sy)) >= SKETCH else 1.0
+    alike = sum(min(sx[k] / a.n, sy[k] / b.n) for k in sx.keys() & sy.keys() if k not in _PLAIN_SHAPES) / held
+    return max(shared, min(1.0, alike)), True
 
 
 def _name_words(path: str) -> list[str]:
@@ -205,7 +300,7 @@ def same_fields(links: list[tuple[str, str]]) -> dict[str, str]:
     return {p: root(p) for p in parent}
 
 
-def compare_headers(old: dict[str, tuple[str, list[str]]], new: dict[str, tuple[str, list[str]]], known: dict[str, str] | None = None) -> list[tuple[str, str, str, str | None, str | None]]:
+def compare_headers(old: dict[str, tuple[str, Summary]], new: dict[str, tuple[str, Summary]], known: dict[str, str] | None = None) -> list[tuple[str, str, str, str | None, str | None]]:
     """(change_kind, field_path, new_path, old type, new type) of one file against the one before, in order of the paths.
 
     ``known`` names paths that other files have shown to be one field.
@@ -217,7 +312,7 @@ def compare_headers(old: dict[str, tuple[str, list[str]]], new: dict[str, tuple[
         for c in come:
             n = 1.0 if g in known and known[g] == known.get(c) else name_likeness(g, c)
             v, telling = value_likeness(old[g][1], new[c][1])
-            codes = max(len(set(old[g][1])), len(set(new[c][1]))) <= CODES and "array" not in (old[g][0], new[c][0])
+            codes = max(len(old[g][1].values), len(new[c][1].values)) <= CODES and "array" not in (old[g][0], new[c][0])
             # Known by both; by values that nothing else has; or a list of codes recoded under nearly the same name.
             if n >= SAME_NAME and v >= SAME_VALUES or n >= 0 and telling and v >= CERTAIN_VALUES or n >= 1 and v == 0 and codes:
                 scored.append((-(n + v), g, c))
@@ -241,14 +336,14 @@ def file_changes(headers: DataFrame) -> DataFrame:
     Two passes over the headers: names that the first finds to be one field anywhere
     are known as such in the second, where a rename skips the name in common.
     """
-    one = F.collect_list(F.struct("field_path", "kind", "values"))
+    one = F.collect_list(F.struct("field_path", "kind", "summary"))
     files = cut(headers.groupBy("feed_name", "file_no").agg(one.alias("fields")))
     before = files.select("feed_name", (F.col("file_no") + 1).alias("file_no"), F.col("fields").alias("old"))
     pairs = files.join(before, ["feed_name", "file_no"]).select("feed_name", "file_no", "fields", "old")
 
     def comparing(known: dict[str, str]) -> DataFrame:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read = lambda fields: {f["field_path"]: (f["kind"], f["values"]) for f in fields if f["field_path"]}
+            read = lambda fields: {f["field_path"]: (f["kind"], _read(f["summary"])) for f in fields if f["field_path"]}
             for b in batches:
                 rows = []
                 for name, no, new, old in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -276,11 +371,13 @@ def union_schema(headers: DataFrame, changes: DataFrame, preferred: tuple[str, .
     the schemas bound; beyond MOST_FIELDS this refuses.
     """
     kind = [F.count_if(F.col("kind") == k).alias(k) for k in LATTICE]
-    numeric = F.bool_and(F.forall("values", lambda v: v.rlike("^" + _NUMBER.pattern)))
+    numeric = F.bool_and((F.col("summary.numbers") == F.col("summary.n")) & (F.col("summary.blank") == 0))
     seen = headers.filter("field_path <> ''").groupBy("field_path").agg(F.count(F.lit(1)).alias("files"), numeric.alias("numeric"), *kind).limit(MOST_FIELDS + 1).collect()
     if len(seen) > MOST_FIELDS:
         raise ValueError(f"more than {MOST_FIELDS} distinct fields")
-    links = changes.filter("change_kind = 'renamed'").select("field_path", "new_path").distinct().collect()
+    links = changes.filter("change_kind = 'renamed'").select("field_path", "new_path").distinct().limit(MOST_FIELDS + 1).collect()
+    if len(links) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} distinct renames")
     root = same_fields([(a, b) for a, b in links])
     groups: dict[str, list] = defaultdict(list)
     for r in seen:

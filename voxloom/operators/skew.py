@@ -33,6 +33,22 @@ def _differs(column: pa.Array) -> np.ndarray:
     return np.append(True, codes[1:] != codes[:-1]) if len(codes) else np.empty(0, bool)
 
 
+def _joined(held: pa.RecordBatch | None, states: pa.RecordBatch, width: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The states that are complete, and the last one, which may go on; ``held`` comes before and may go on in the first."""
+    if held is not None:
+        a, b = held.to_pylist()[0], states.slice(0, 1).to_pylist()[0]
+        if all(x == y for x, y in list(zip(a.values(), b.values(), strict=True))[:width]):
+            times = [t for t in (a["lo"], b["lo"], a["hi"], b["hi"]) if t is not None]
+            again = a["who_last"] is not None and a["who_last"] == b["who_first"]
+            both = a | {k: a[k] + b[k] for k in ("n", "c")} | {"s": None if a["s"] is None and b["s"] is None else (a["s"] or 0) + (b["s"] or 0)}
+            both |= {"lo": min(times, default=None), "hi": max(times, default=None), "d": a["d"] + b["d"] - again, "who_last": b["who_last"]}
+            head = pa.RecordBatch.from_pylist([both], schema=states.schema)
+            states = pa.Table.from_batches([head, states.slice(1)]).combine_chunks().to_batches()[0]
+        else:
+            states = pa.Table.from_batches([held, states]).combine_chunks().to_batches()[0]
+    return states.slice(0, states.num_rows - 1), states.slice(states.num_rows - 1)
+
+
 def skewed_key_profile(
     rows: DataFrame,
     keys: list[str],
@@ -72,43 +88,52 @@ def skewed_key_profile(
     width = len(keys)
     kinds = [f.dataType.simpleString() for f in reduced.schema.fields[:width]]
 
+    names = [*keys, "part", "n", "c", "lo", "hi", "s", "d", "who_first", "who_last"]
+
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One state for each run of a key in a batch; batches of a partition come in order."""
-        for no, b in enumerate(batches):
-            if not b.num_rows:
-                continue
-            change = np.logical_or.reduce([_differs(b.column(i)) for i in range(width)])
-            starts, ends = _runs(change)
-            who = b.column(width)
-            known = pc.is_valid(who).to_numpy(zero_copy_only=False)
-            first = ((change | _differs(who)) & known).astype(np.int64)
-            col = lambda name: b.column(b.schema.get_field_index(name))
-            ints = lambda name: np.add.reduceat(col(name).to_numpy(), starts)
-            run = np.repeat(np.arange(len(starts)), ends - starts + 1)
-            grouped = pa.table({"run": run, "lo": col("lo"), "hi": col("hi"), "s": col("s")}).group_by("run", use_threads=False)
-            grouped = grouped.aggregate([("lo", "min"), ("hi", "max"), ("s", "sum")]).sort_by("run")
-            at, last = pa.array(starts), pa.array(ends)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(i).take(at) for i in range(width)),
-                    col("part").take(at),
-                    pa.array(np.full(len(starts), no, np.int32)),
-                    pa.array(ints("n")),
-                    pa.array(ints("c")),
-                    grouped["lo_min"].combine_chunks(),
-                    grouped["hi_max"].combine_chunks(),
-                    grouped["s_sum"].combine_chunks().cast(pa.decimal128(38, 0)),
-                    pa.array(np.add.reduceat(first, starts)),
-                    who.take(at),
-                    who.take(last),
-                ],
-                [*keys, "part", "batch", "n", "c", "lo", "hi", "s", "d", "who_first", "who_last"],
-            )
+        """One state for each key of a partition; the run that is open at the end of a batch is carried into the next."""
+        held: pa.RecordBatch | None = None
+        for b in batches:
+            if b.num_rows:
+                done, held = _joined(held, reduced_batch(b), width)
+                if done.num_rows:
+                    yield done
+        if held is not None:
+            yield held
+
+    def reduced_batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        """One state for each run of a key in a batch."""
+        change = np.logical_or.reduce([_differs(b.column(i)) for i in range(width)])
+        starts, ends = _runs(change)
+        who = b.column(width)
+        known = pc.is_valid(who).to_numpy(zero_copy_only=False)
+        first = ((change | _differs(who)) & known).astype(np.int64)
+        col = lambda name: b.column(b.schema.get_field_index(name))
+        ints = lambda name: np.add.reduceat(col(name).to_numpy(), starts)
+        run = np.repeat(np.arange(len(starts)), ends - starts + 1)
+        grouped = pa.table({"run": run, "lo": col("lo"), "hi": col("hi"), "s": col("s")}).group_by("run", use_threads=False)
+        grouped = grouped.aggregate([("lo", "min"), ("hi", "max"), ("s", "sum")]).sort_by("run")
+        at, last = pa.array(starts), pa.array(ends)
+        return pa.RecordBatch.from_arrays(
+            [
+                *(b.column(i).take(at) for i in range(width)),
+                col("part").take(at),
+                pa.array(ints("n")),
+                pa.array(ints("c")),
+                grouped["lo_min"].combine_chunks(),
+                grouped["hi_max"].combine_chunks(),
+                grouped["s_sum"].combine_chunks().cast(pa.decimal128(38, 0)),
+                pa.array(np.add.reduceat(first, starts)),
+                who.take(at),
+                who.take(last),
+            ],
+            names,
+        )
 
     head = ", ".join(f"`{k}` {t}" for k, t in zip(keys, kinds, strict=True))
-    partial = reduced.mapInArrow(states, f"{head}, part int, batch int, n long, c long, lo timestamp, hi timestamp, s decimal(38,0), d long, who_first string, who_last string")
+    partial = reduced.mapInArrow(states, f"{head}, part int, n long, c long, lo timestamp, hi timestamp, s decimal(38,0), d long, who_first string, who_last string")
     # Stitching: of neighbours in order, the second counted the first's last value once more.
-    run = F.struct("part", "batch", "d", "who_first", "who_last")
+    run = F.struct("part", "d", "who_first", "who_last")
     gathered = partial.groupBy(*keys).agg(
         F.sum("n").alias("mentions"),
         F.sum("c").alias("c"),
