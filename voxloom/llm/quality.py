@@ -224,7 +224,7 @@ def fit(x: Lines, rounds: int = EM_ROUNDS) -> LineModel:
 
 
 def sample_model(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE_DOCS) -> LineModel:
-    """Fit on ``sample`` texts, those with the smallest hashes: a bounded, repeatable choice.
+    """Fit on ``sample`` different texts, those with the smallest hashes: a bounded, repeatable choice.
 
     Hashes are cut so that about twice the sample is left before it is ordered:
     what tasks send to the driver does not grow with their number.
@@ -232,7 +232,7 @@ def sample_model(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPL
     rows = max(1, docs.count())
     ceiling = min(1.0, 2.0 * sample / rows) * 2.0**63
     some = docs.select(text_col).filter(F.trim(text_col) != "").withColumn("h", F.shiftrightunsigned(F.xxhash64(text_col), 1))
-    some = some.filter(F.col("h").cast("double") <= ceiling).orderBy("h", text_col).limit(sample).select(text_col)
+    some = some.filter(F.col("h").cast("double") <= ceiling).dropDuplicates(["h"]).orderBy("h").limit(sample).select(text_col)
     return fit(line_statistics([r[0] for r in some.collect()]))
 
 
