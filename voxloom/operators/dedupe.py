@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.session import small, stored
+
 KEY = ("customer_id", "content_hash")
 
 
 def within_day(segments: DataFrame) -> DataFrame:
-    """The earliest segment of each (day, customer, hash); ties go to the smaller id.
+    """The earliest segment of each (day, customer, hash) by instant; ties go to the smaller id, unreadable times come first.
 
     A minimum over structs rather than a window: copies are combined where they
     lie, so a text that fills a third of a day is no hot group.
     """
-    first = F.min(F.struct("timestamp", "segment_id"))
+    first = F.min(F.struct(F.col("timestamp").try_cast("timestamp").alias("at"), "segment_id", "timestamp"))
     return segments.groupBy("day", *KEY).agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).select("day", *KEY, "f.segment_id", "f.timestamp", "copies")
 
 
@@ -34,3 +38,12 @@ def previous_turns(turns: DataFrame) -> DataFrame:
     """Each customer turn with the customer's turn before it in the call."""
     w = Window.partitionBy("call_id").orderBy("pos")
     return turns.filter("speaker = 'customer'").withColumn("previous", F.lag("text").over(w))
+
+
+def without_repeats(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows without exact repeats: keys that have several are found by hashes; only their rows are exchanged whole."""
+    mark = rows.select(*key, F.xxhash64(*rows.columns).alias("h"))
+    again = mark.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key).distinct()
+    again = small(stored(again.dropna()))
+    known, null = rows.dropna(subset=list(key)), rows.filter(reduce(Column.__or__, (F.col(k).isNull() for k in key))).distinct()
+    return known.join(again, list(key), "left_anti").unionByName(known.join(again, list(key), "left_semi").distinct()).unionByName(null)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.text import content_words
+from voxloom.functions.text import content_words, speaker_lines
 
 
 def _ratio(a: str, b: str, empty: float) -> F.Column:
@@ -88,23 +85,84 @@ def groundedness(claims: DataFrame, share: float = 0.6) -> DataFrame:
 
 
 def word_error_rate(pairs: DataFrame) -> DataFrame:
-    """(key, errors, words, wer) of (key, reference, hypothesis) by edit distance over words."""
-
-    def distance(a: list[str], b: list[str]) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, ref, hyp in b.itertuples(index=False):
-                r, h = (ref or "").lower().split(), (hyp or "").lower().split()
-                out.append((key, distance(r, h), len(r)))
-            yield pd.DataFrame(out, columns=["key", "errors", "words"])
-
-    done = pairs.select("key", "reference", "hypothesis").mapInPandas(measure, "key string, errors int, words int")
+    """(key, errors, words, wer) of (key, reference, hypothesis) by edit distance over words.
+
+    Each different word of a pair becomes one character of a private numbering, so that
+    the built-in edit distance of characters is that of words.
+    """
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    rows = pairs.select("key", split(F.col("reference")).alias("r"), split(F.col("hypothesis")).alias("h"))
+    rows = rows.withColumn("known", F.array_distinct(F.concat("r", "h")))
+
+    def letter(word: F.Column) -> F.Column:
+        c = F.array_position("known", word).cast("int") + 0x10000
+        six = lambda shift: F.shiftright(c, shift).bitwiseAND(63)
+        utf8 = F.lit(0xF0808080) + six(18) * (1 << 24) + six(12) * (1 << 16) + six(6) * (1 << 8) + six(0)
+        return F.unhex(F.hex(utf8)).cast("string")
+
+    spelled = lambda words: F.array_join(F.transform(words, letter), "")
+    done = rows.select("key", F.levenshtein(spelled("r"), spelled("h")).alias("errors"), F.size("r").alias("words"))
     return done.withColumn("wer", F.round(F.col("errors") / F.greatest("words", F.lit(1)) + 1e-9, 6))
+
+
+#: Score from which a segment is kept.
+KEEP = 0.35
+
+
+def router_metrics(scored: DataFrame, threshold: float = KEEP) -> DataFrame:
+    """One row of counts and rates of (score, label, attack): attacks are a class of their own, to be forwarded whatever their score."""
+    keep, attack, label = F.coalesce(F.col("score") >= threshold, F.lit(False)), F.coalesce("attack", F.lit(False)), F.coalesce("label", F.lit(0)) == 1
+    only = attack & ~label
+    n = lambda test, name: F.count_if(test).alias(name)
+    c = scored.agg(n(~only & label & keep, "tp"), n(~only & ~label & keep, "fp"), n(~only & label & ~keep, "fn"), n(~only & ~label & ~keep, "tn"), n(only & keep, "attacks_scored"), n(attack, "attacks"), n(attack & F.coalesce("seen", F.lit(False)), "attacks_seen"), F.count(F.lit(1)).alias("n_rows"))
+    c = c.withColumns({"kept": F.col("tp") + F.col("fp"), "good": F.col("tp") + F.col("fn"), "charged": F.col("tp") + F.col("fp") + F.col("attacks_scored")})
+    p, r = F.when(F.col("kept") == 0, 1.0).otherwise(F.col("tp") / F.col("kept")), F.when(F.col("good") == 0, 1.0).otherwise(F.col("tp") / F.col("good"))
+    return c.select("tp", "fp", "fn", "tn", _ratio("tp", "kept", 1.0).alias("precision"), _ratio("tp", "good", 1.0).alias("recall"), F.round(F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)) + 1e-9, 6).alias("f1"), _ratio("attacks_seen", "attacks", 1.0).alias("attack_recall"), _ratio("tp", "charged", 1.0).alias("precision_charging_attacks"), _ratio("charged", "n_rows", 0.0).alias("kept_share"))
+
+
+def errors_by_category(scored: DataFrame, threshold: float = KEEP) -> DataFrame:
+    """(category, errors, total) of (category, score, label, attack, seen): an attack is an error if it is not seen, else a wrong side of the threshold is."""
+    wrong = F.when(F.coalesce("attack", F.lit(False)), ~F.coalesce("seen", F.lit(False))).otherwise(F.coalesce(F.col("score") >= threshold, F.lit(False)) != (F.coalesce("label", F.lit(0)) == 1))
+    return scored.groupBy("category").agg(F.count_if(wrong).alias("errors"), F.count(F.lit(1)).alias("total"))
+
+
+def top1_by_leg(legs: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
+    """(leg, queries, right, accuracy): how often the first place of a leg is among the expected documents of a query.
+
+    ``expected`` has query_id, doc_id; queries without any are not counted.
+    """
+    wanted = expected.select("query_id", "doc_id").distinct()
+    queries = wanted.select("query_id").distinct()
+    out = None
+    for name, leg in legs.items():
+        hit = leg.filter("place = 1").join(wanted, ["query_id", "doc_id"], "left_semi").select("query_id").withColumn("hit", F.lit(1))
+        one = queries.join(hit, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.count("hit").alias("right")).withColumn("leg", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("leg", "queries", "right", _ratio("right", "queries", 1.0).alias("accuracy"))
+
+
+def contamination(observations: DataFrame, claims: DataFrame, segments: DataFrame, floor: float = 0.5) -> DataFrame:
+    """Per issue_key: observations, weakly attributed ones, and those whose segment holds the agent's claim on a customer's line.
+
+    ``claims`` has call_id, claim: an agent's sentence; calls without any are clean.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    lines = F.transform(speaker_lines(F.col("text")), plain)
+    held = claims.select("call_id", plain(F.col("claim")).alias("claim")).filter("claim <> ''").distinct()
+    of = segments.select("segment_id", "call_id", lines.alias("lines")).join(held, "call_id")
+    reached = F.exists("lines", lambda x: (x != "") & (x.contains(F.col("claim")) | F.col("claim").contains(x)))
+    tainted = of.filter(reached).select("segment_id").distinct().withColumn("tainted", F.lit(True))
+    rows = observations.select("observation_id", "segment_id", "issue_key", "attribution_confidence").distinct().join(tainted, "segment_id", "left")
+    return rows.groupBy("issue_key").agg(F.count(F.lit(1)).alias("observations"), F.count_if(F.col("attribution_confidence") < floor).alias("weak"), F.count_if("tainted").alias("contaminated"))
+
+
+def label_summary(labels: DataFrame) -> DataFrame:
+    """(annotator, judgements, items, contested): of an annotator's items, how many others judge otherwise."""
+    odd = contested(labels).select("item_id").withColumn("odd", F.lit(True))
+    return labels.join(odd, "item_id", "left").groupBy("annotator").agg(F.count(F.lit(1)).alias("judgements"), F.count_distinct("item_id").alias("items"), F.count_distinct(F.when(F.col("odd"), F.col("item_id"))).alias("contested"))
+
+
+def majority_mapping(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each cluster (keys, cluster) the truth that most of its rows have, the smaller of equals."""
+    n = rows.filter("truth IS NOT NULL").groupBy(*keys, "cluster", "truth").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*keys, "cluster").agg(F.min_by("truth", F.struct(-F.col("n"), F.col("truth"))).alias("speaker"), F.max("n").alias("n_rows"))

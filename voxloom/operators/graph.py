@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +40,29 @@ def blast_radius(graph: DataFrame, node_kind: str) -> DataFrame:
     return leaf.join(owner, "issue").groupBy("node").agg(F.count_distinct("product").alias("products"), F.count_distinct("issue").alias("issues"))
 
 
-def hops_from(graph: DataFrame, start: str, most: int = 6) -> DataFrame:
-    """(node, hops): nodes within ``most`` undirected steps; each round joins the frontier only."""
+def hops_from(graph: DataFrame, start: str, most: int | None = None) -> DataFrame:
+    """(node, hops): nodes within ``most`` undirected steps, or all that are reached; each round joins the frontier only."""
     both = cut(graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     seen = cut(both.select(F.col("src").alias("node")).filter(F.col("node") == start).distinct().withColumn("hops", F.lit(0)))
     frontier = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         step = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier))
     return seen
+
+
+def shortest_path(graph: DataFrame, start: str, end: str) -> list[str]:
+    """The nodes of a shortest undirected path, the smallest names of equals; empty if there is none."""
+    seen = hops_from(graph, start)
+    both = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = seen.filter(F.col("node") == end).first()
+    if found is None:
+        return []
+    path = [end]
+    for k in range(found["hops"] - 1, -1, -1):
+        before = both.filter(F.col("dst") == path[-1]).join(seen.filter(F.col("hops") == k), F.col("src") == F.col("node"))
+        path.append(before.agg(F.min("node")).first()[0])
+    return path[::-1]

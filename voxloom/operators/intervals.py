@@ -46,6 +46,14 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float =
     return both.select(*keys, "a_id", "b_id", F.round(F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1e-9, 6).alias("shared"))
 
 
+def speaker_at(points: DataFrame, spans: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
+    """(keys, id, speaker) of points (id, at): the first span (start, end, speaker) that holds each; points in none are left out."""
+    p = points.select(*keys, "id", "at", F.floor(F.col("at") / width).alias("bucket"))
+    s = spans.select(*keys, "start", "end", "speaker").filter("start < end").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    held = p.join(s, [*keys, "bucket"]).filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+    return held.groupBy(*keys, "id").agg(F.min(F.struct("start", "end", "speaker")).alias("s")).select(*keys, "id", "s.speaker")
+
+
 def smoothed(rows: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
     """Each label replaced by the majority of itself and its neighbours; without one it stays."""
     w = Window.partitionBy(*keys).orderBy(order)

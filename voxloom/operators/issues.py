@@ -16,20 +16,22 @@ def issue_aggregate(observations: DataFrame) -> DataFrame:
 
     Both polarities are aggregated side by side in one pass and the majority is
     picked afterwards, so no self-join is needed; ties affirm. Customers count with
-    an attribution of at least ATTRIBUTION_FLOOR (null counts as certain).
+    an attribution of at least ATTRIBUTION_FLOOR (null counts as certain). The
+    observations behind an issue are a table of their own, ``issue_evidence``.
     """
     denying = F.coalesce(F.col("summary").startswith(RESOLVED), F.lit(False))
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in SEVERITY_RANK.items() for x in kv))[F.col("severity")], F.lit(-1))
     view = F.struct(rank.alias("rank"), "severity", "summary", "type")
     confidence = F.col("confidence").cast("decimal(18,9)")
-    o = observations.withColumns({"__deny": denying, "__view": view, "__c": confidence})
+    # Offsets vary, so times compare as instants, not as text.
+    o = observations.withColumns({"__deny": denying, "__view": view, "__c": confidence, "__at": F.col("timestamp").try_cast("timestamp")})
     sides = o.groupBy("product_id", "issue_key").agg(
         F.count(F.lit(1)).alias("mentions"),
         F.count_distinct(F.when(F.coalesce("attribution_confidence", F.lit(1.0)) >= ATTRIBUTION_FLOOR, F.col("customer_id"))).alias("distinct_customers"),
         F.sort_array(F.collect_set("region")).alias("regions"),
         F.sort_array(F.collect_set("product_version")).alias("versions"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
+        F.min("__at").alias("first_seen"),
+        F.max("__at").alias("last_seen"),
         F.count_if(~F.col("__deny")).alias("affirming"),
         F.count_if("__deny").alias("denying"),
         F.sum(F.when(~F.col("__deny"), F.col("__c"))).cast("double").alias("a_sum"),
@@ -50,6 +52,16 @@ def issue_aggregate(observations: DataFrame) -> DataFrame:
     )
 
 
+def issue_evidence(observations: DataFrame) -> DataFrame:
+    """(product_id, issue_key, observation_id): which observations stand behind each issue, one row each."""
+    return observations.select("product_id", "issue_key", "observation_id").distinct()
+
+
+def candidates_with_evidence(issues: DataFrame, evidence: DataFrame, n: int = 3) -> DataFrame:
+    """Each issue with its ``n`` most confident quotes; issues without any stay, with nulls."""
+    return issues.join(evidence_top(evidence, n), ["product_id", "issue_key"], "left")
+
+
 def corroboration_report(observations: DataFrame) -> DataFrame:
     """Mentions against distinct customers of each issue."""
     out = observations.groupBy("product_id", "issue_key").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("customer_id").alias("distinct_customers"))

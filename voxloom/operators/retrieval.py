@@ -7,11 +7,15 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxloom.functions.text import dot, stem, tokens
+from voxloom.operators.catalog import resolve_products
+from voxloom.session import small, stored
 
 #: BM25 parameters, fusion constant, places kept of each leg, width of hashed vectors.
 K1, B, RRF_K, LEG, HASHED_DIM = 1.5, 0.75, 60, 20, 256
@@ -49,24 +53,65 @@ def _ranked(scores: DataFrame, keep: int | None) -> DataFrame:
     return out if keep is None else out.filter(F.col("place") <= keep)
 
 
+#: Numbers (queries times dimensions) of one block of query vectors that is sent to the executors.
+BLOCK_NUMBERS = 2_000_000
+
+
 def dense(vectors: DataFrame, queries: DataFrame, keep: int = 10) -> DataFrame:
     """(query_id, doc_id, score, place) by cosine; what is not positive has no place.
 
-    Queries are a stated set and are sent in one broadcast only behind a count; more
-    of them go through in blocks.
+    Queries are a stated set; they are sent in blocks of bounded size and multiplied
+    with a batch of vectors at a time, of which only those that can still be among the
+    best ``keep`` go on.
     """
-    unit = lambda c: F.transform(c, lambda v: F.try_divide(v.cast("double"), F.sqrt(dot(F.col("vec"), F.col("vec")))))
-    some = dot(F.col("vec"), F.col("vec")) > 0
-    docs = vectors.filter(some).select("doc_id", unit(F.col("vec")).alias("v"))
-    asked = queries.filter(some).select("query_id", unit(F.col("vec")).alias("q"))
-    block, n, out = 10_000, queries.count(), None
-    for k in range(max(1, math.ceil(n / block))):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(n / block)))) == k)
-        scored = docs.join(F.broadcast(part)).select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")).filter("score > 0")
-        out = scored if out is None else out.unionByName(scored)
+    spark = vectors.sparkSession
+    kinds = [vectors.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
+    schema = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double"
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
+    out = spark.createDataFrame([], schema)
+    for ids, block in _query_blocks(queries):
+        sent = spark.sparkContext.broadcast((ids, block))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, asked = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4000):
+                    b = whole.slice(at, 4000)
+                    made = _unit(b.column(1).to_pylist(), asked.shape[1])
+                    points = np.round(made @ asked.T, 6)
+                    floor = np.full(points.shape[1], 1e-6)
+                    if len(points) > keep:
+                        floor = np.maximum(floor, np.partition(points, len(points) - keep, axis=0)[len(points) - keep])
+                    # Ties with the last place go on too.
+                    row, column = np.nonzero(points >= floor)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, query_type).take(pa.array(column)), b.column(0).take(pa.array(row)), pa.array(points[row, column])], ["query_id", "doc_id", "score"])
+
+        out = out.unionByName(vectors.select("doc_id", "vec").mapInArrow(score, schema))
     return _ranked(out, keep)
 
 
+def _unit(vectors: list, width: int) -> np.ndarray:
+    """Rows of unit length; null, empty and zero vectors and those of another width become zero."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        if v is not None and len(v) == width and None not in v:
+            out[k] = v
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    ids, vectors, size = [], [], 0
+    for query_id, v in queries.select("query_id", "vec").filter(F.size("vec") > 0).toLocalIterator():
+        if ids and (size + len(v) > BLOCK_NUMBERS or len(v) != len(vectors[0])):
+            yield ids, _unit(vectors, len(vectors[0]))
+            ids, vectors, size = [], [], 0
+        ids.append(query_id), vectors.append(v)
+        size += len(v)
+    if ids:
+        yield ids, _unit(vectors, len(vectors[0]))
+
+
 def fuse(*legs: tuple[DataFrame, float], keep: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked legs with weights."""
     votes = None
@@ -82,19 +127,27 @@ def leg_weights(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(F.col("query").rlike(IDENTIFIER), 3.0).otherwise(1.0).alias("lexical"), F.lit(1.0).alias("dense"))
 
 
-def coverage(docs: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Share of a query's discriminating stems that each paired document holds.
+def product_tokens(products: DataFrame) -> DataFrame:
+    """(token): every token of every name, alias and id in the catalog."""
+    phrases = F.concat(F.array("product_id", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("generic_aliases", F.array().cast("array<string>")))
+    return products.select(F.explode(phrases).alias("p")).select(F.explode(tokens(F.col("p"))).alias("token")).distinct()
+
+
+def coverage(docs: DataFrame, queries: DataFrame, pairs: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Share of a query's discriminating terms whose stem each paired document holds.
 
-    A word in more than half of the documents discriminates nothing; a query of
-    such words only is covered by everything.
+    A word in more than half of the documents discriminates nothing, nor does one that
+    names a product; a query of such words only is covered by everything.
     """
     n = docs.count()
     df = postings(docs).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token")).join(df, "token", "left")
-    terms = asked.filter(F.coalesce("df", F.lit(0)) <= 0.5 * n).groupBy("query_id").agg(F.collect_set(stem(F.col("token"))).alias("terms"), F.count(F.lit(1)).alias("n"))
+    if products is not None:
+        asked = asked.join(product_tokens(products), "token", "left_anti")
+    terms = asked.filter(F.coalesce("df", F.lit(0)) <= 0.5 * n).groupBy("query_id").agg(F.collect_list(stem(F.col("token"))).alias("terms"))
     held = docs.select("doc_id", F.array_distinct(F.transform(tokens(F.col("text")), stem)).alias("stems"))
     both = pairs.select("query_id", "doc_id").join(terms, "query_id", "left").join(held, "doc_id")
-    share = F.when(F.col("terms").isNull(), 1.0).otherwise(F.size(F.array_intersect("terms", "stems")) / F.size("terms"))
+    share = F.when(F.col("terms").isNull(), 1.0).otherwise(F.size(F.filter("terms", lambda t: F.array_contains("stems", t))) / F.size("terms"))
     return both.select("query_id", "doc_id", F.round(share + 1e-9, 6).alias("coverage"))
 
 
@@ -126,3 +179,53 @@ def stale_documents(docs: DataFrame, index: DataFrame, signature: str) -> DataFr
     """Documents that the index (doc_id, hash, signature) lacks in this state: the ones to embed again."""
     now = docs.select("doc_id", F.sha2(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("hash"), F.lit(signature).alias("signature"))
     return now.join(index.select("doc_id", "hash", "signature"), ["doc_id", "hash", "signature"], "left_anti")
+
+
+#: Cosine that admits a document without a common term, weight of the fused rank, priors of a document's status, certainty of a product that narrows the search.
+DENSE_FLOOR, RANK_WEIGHT, STATUS_PRIOR, NARROWS = 0.35, 10.0, {"confirmed": 0.15, "published": 0.10, "observed": 0.05}, 0.85
+
+
+def hybrid_search(docs: DataFrame, queries: DataFrame, products: DataFrame, *, keep: int = 5, mode: str = "hybrid") -> DataFrame:
+    """(query_id, doc_id, score, coverage, similarity, place): the whole search for a set of queries.
+
+    ``docs`` has doc_id, product_id, status, text. A product that a query names narrows
+    it to that product's documents; each leg gives LEG places, ranks are fused, and of
+    3 * keep documents those stay that hold a discriminating term or are near enough.
+    Their order is by rank, common tokens and status; ties go to the smaller doc_id.
+    """
+    asked = stored(queries.select("query_id", "query"))
+    named = resolve_products(asked.toDF("key", "text"), products).filter(F.col("confidence") >= NARROWS)
+    named = stored(named.select(F.col("key").alias("query_id"), F.col("product_id").alias("only")))
+    owner = docs.select("doc_id", "product_id")
+
+    def narrowed(leg: DataFrame) -> DataFrame:
+        free = leg.drop("place").join(small(named), "query_id", "left").join(owner, "doc_id")
+        return _ranked(free.filter(F.col("only").isNull() | (F.col("only") == F.col("product_id"))).select("query_id", "doc_id", "score"), LEG)
+
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    legs: dict[str, DataFrame] = {}
+    if mode != "dense":
+        legs["lexical"] = stored(narrowed(bm25(texts, asked, None)))
+    if mode != "bm25":
+        vectors, wanted = hashed_vectors(texts), stored(hashed_vectors(asked.toDF("doc_id", "text")).toDF("query_id", "vec"))
+        free = dense(vectors, wanted.join(named, "query_id", "left_anti"), keep=LEG)
+        # A narrowed query meets only the documents of its product.
+        own = wanted.join(named, "query_id").join(vectors.withColumnRenamed("vec", "v").join(owner, "doc_id"), F.col("only") == F.col("product_id"))
+        near = own.select("query_id", "doc_id", F.round(dot(F.col("vec"), F.col("v")), 6).alias("score")).filter("score > 0")
+        legs["dense"] = stored(free.unionByName(_ranked(near, LEG)))
+    weight = F.when(F.col("query").rlike(IDENTIFIER), 3.0).otherwise(1.0) if mode == "hybrid" else F.lit(1.0)
+    votes = None
+    for name, leg in legs.items():
+        v = leg.join(asked, "query_id").select("query_id", "doc_id", ((weight if name == "lexical" else F.lit(1.0)) / (RRF_K + F.col("place"))).alias("vote"))
+        votes = v if votes is None else votes.unionByName(v)
+    fused = stored(_ranked(votes.groupBy("query_id", "doc_id").agg(F.round(F.sum("vote"), 9).alias("score")), 3 * keep))
+    near = legs["dense"].select("query_id", "doc_id", F.col("score").alias("similarity")) if "dense" in legs else None
+    found = fused.drop("place").join(coverage(texts, asked, fused, products), ["query_id", "doc_id"])
+    found = found.join(near, ["query_id", "doc_id"], "left").fillna(0.0, ["similarity"]) if near is not None else found.withColumn("similarity", F.lit(0.0))
+    admitted = found.filter((F.col("coverage") > 0) | (F.col("similarity") >= DENSE_FLOOR))
+    words = F.array_distinct(tokens(F.col("query")))
+    shared = F.size(F.array_intersect(words, tokens(F.col("text")))) / F.greatest(F.size(words), F.lit(1))
+    prior = F.coalesce(F.create_map(*(F.lit(x) for kv in STATUS_PRIOR.items() for x in kv))[F.col("status")], F.lit(0.0))
+    scored = admitted.join(asked, "query_id").join(docs.select("doc_id", "text", "status"), "doc_id")
+    scored = scored.select("query_id", "doc_id", F.round(F.col("score") * RANK_WEIGHT + shared + prior + 1e-9, 4).alias("score"), F.round(F.col("coverage") + 1e-9, 3).alias("coverage"), F.round(F.col("similarity") + 1e-9, 3).alias("similarity"))
+    return _ranked(scored, keep)

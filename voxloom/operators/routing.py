@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.text import injection_signatures, speaker_lines
+from voxloom.functions.text import customer_lines, injection_signatures, speaker_lines
+from voxloom.operators.catalog import resolve_versions
 
 #: Term sets (tested as substrings), openings of small talk, weights and threshold.
 PROBLEM_TERMS = (
@@ -25,11 +26,18 @@ def _any(text: Column, terms: tuple[str, ...]) -> Column:
     return out
 
 
+def with_versions(segments: DataFrame, products: DataFrame) -> DataFrame:
+    """Segments with ``version_known``: whether the customer names a version of the product."""
+    rows = segments.filter("product_id IS NOT NULL").select(F.col("segment_id").alias("key"), "product_id", customer_lines(F.col("text")).alias("text"))
+    known = resolve_versions(rows, products).select(F.col("key").alias("segment_id")).distinct()
+    return segments.join(known.withColumn("version_known", F.lit(True)), "segment_id", "left").fillna(False, ["version_known"])
+
+
 def relevance(segments: DataFrame) -> DataFrame:
     """(segment_id, relevance, signatures, reason) from ``text``, ``product_id``, ``product_confidence``.
 
-    Without customer speech or product the relevance is 0. The version part is left
-    to ``version_known`` where the column exists.
+    Without customer speech or product the relevance is 0. Where the column
+    ``version_known`` is missing no version counts; ``with_versions`` adds it.
     """
     spoken = F.array_join(speaker_lines(F.col("text")), " ")
     low = F.lower(F.trim(spoken))

@@ -87,10 +87,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-#: Rows of few short columns that may be broadcast (some 10 MB).
-SMALL_ROWS = 300_000
+#: Rows and bytes on disk of a stored side that may be broadcast.
+SMALL_ROWS, SMALL_BYTES = 300_000, 8_000_000
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df``, which must be stored, with a broadcast hint if it has at most ``rows`` rows; else it is shuffled like any side."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """``df``, which must be stored, with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes; else it is shuffled like any side."""
+    on_disk = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if on_disk <= size and df.count() <= rows else df
