@@ -1,6 +1,7 @@
 """DuckDB statements that must give the rows of the queries of the same names."""
 
 from voxloom.llm.mapping import _fold_tables
+from voxloom.llm.quality import COMMON_WORDS
 
 _OLD, _NEW = _fold_tables()
 
@@ -55,7 +56,32 @@ _P7 = f"""
     FROM calls LEFT JOIN best USING (product_hint) WHERE product_hint <> ''
 """
 
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in COMMON_WORDS)
+#: Lines as Python cuts them, blank ones left out; what is no letter parts words.
+_P10 = f"""
+    WITH l AS (
+        SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x{{0b}}\\x{{0c}}\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: NOT regexp_full_match(x, '[\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}\\x{{0b}}]*'))) AS x
+        FROM (SELECT DISTINCT doc_id, text FROM documents)
+    ), f AS (
+        SELECT doc_id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{M}}]+') AS w, length(x) AS chars, length(regexp_replace(x, '[^\\p{{N}}]', '', 'g')) AS digits, length(regexp_replace(x, '[^\\s]', '', 'g')) AS spaces,
+               regexp_matches(x, '[.!?…:;,]["''”’»)\\]]*\\s*$') AS ended FROM l
+    ), s AS (
+        SELECT doc_id, sum(len(w)) AS n, sum(list_sum(list_transform(w, lambda t: length(t)))) AS letters, count(*) AS lines, count(*) FILTER (WHERE ended) AS ended, sum(len(list_filter(w, lambda t: t IN ({_COMMON})))) AS common,
+               sum(greatest(chars - coalesce(list_sum(list_transform(w, lambda t: length(t))), 0) - digits - spaces, 0)) AS symbols, sum(chars - spaces) AS solid FROM f GROUP BY doc_id
+    )
+    SELECT DISTINCT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(CASE WHEN n > 0 THEN letters / n ELSE 0.0 END + 1e-9, 6) AS mean_word_length, round(CASE WHEN solid > 0 THEN symbols / solid ELSE 0.0 END + 1e-9, 6) AS symbol_ratio,
+           round(CASE WHEN lines > 0 THEN ended / lines ELSE 0.0 END + 1e-9, 6) AS punctuated_lines, round(CASE WHEN n > 0 THEN common / n ELSE 0.0 END + 1e-9, 6) AS common_words
+    FROM documents LEFT JOIN s USING (doc_id)
+"""
+
 ORACLES = {
+    "p10_figures": _P10,
+    "p3_coverage": """
+        SELECT DISTINCT rec_id, CAST(turn_pos AS INTEGER) AS turn_pos, CAST(length(text) AS INTEGER) AS n_chars, true AS quoted, true AS within, true AS joined FROM (
+            SELECT segment_id AS rec_id, -1 AS turn_pos, text FROM segments
+            UNION ALL SELECT call_id, pos - 1, turn.text FROM (SELECT call_id, unnest(turns) AS turn, generate_subscripts(turns, 1) AS pos FROM calls)
+        ) WHERE length(text) > 1200
+    """,
     "p3_found": """
         SELECT DISTINCT segment_id AS rec_id, CAST(-1 AS INTEGER) AS turn_pos FROM segments WHERE length(text) > 1200
         UNION

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm import history, leaks, mapping, pii, quality, splitting, tokenizing, turns
+from voxloom.operators.dedupe import without_repeats
 from voxloom.sources.tables import table
 
 
@@ -22,7 +23,8 @@ def _free_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.mentions(_free_texts(spark, d)).select("rec_id", F.col("redacted").alias("text"), F.size("found").alias("pii_redactions")).distinct()
+    once = without_repeats(_free_texts(spark, d), "rec_id")
+    return pii.mentions(once).select("rec_id", F.col("redacted").alias("text"), F.size("found").alias("pii_redactions"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +40,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece_no = 1").select("rec_id", "turn_pos").distinct()
 
 
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """For each long item what its pieces add up to: its length, and whether they quote it whole, in order, within the limits."""
+    items = table(spark, d, "segments", "segment_id", "text").select(F.col("segment_id").alias("rec_id"), F.lit(-1).alias("turn_pos"), "text")
+    turns_ = table(spark, d, "calls", "call_id", "turns").select(F.col("call_id").alias("rec_id"), F.posexplode("turns").alias("turn_pos", "t")).select("rec_id", "turn_pos", F.col("t.text").alias("text"))
+    long = items.unionByName(turns_).filter(F.length("text") > splitting.LIMIT).distinct()
+    pieces = splitting.split_column(long, ["rec_id", "turn_pos", "text"])
+    w = Window.partitionBy("rec_id", "turn_pos", F.md5("text")).orderBy("piece_no")
+    before = F.lag("end_at").over(w)
+    ok = pieces.select(
+        "rec_id", "turn_pos", F.md5("text").alias("h"), "piece_no", "end_at",
+        (F.substring(F.col("text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")) == F.col("piece")).alias("quoted"),
+        (F.length("piece") <= splitting.LIMIT).alias("within"),
+        F.when(before.isNull(), F.col("start_at") == 0).otherwise((F.col("start_at") < before) & (before - F.col("start_at") <= splitting.OVERLAP) & (F.col("end_at") > before)).alias("joined"),
+    )
+    return ok.groupBy("rec_id", "turn_pos", "h").agg(F.max("end_at").alias("n_chars"), F.bool_and("quoted").alias("quoted"), F.bool_and("within").alias("within"), F.bool_and("joined").alias("joined")).drop("h").distinct()
+
+
 def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.clean_turns(table(spark, d, "calls", "call_id", "landed_at", "turns"))
 
@@ -66,6 +85,12 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.document_quality(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p10_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The plain figures of each document, rounded."""
+    figures = ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_words")
+    return p10_statistics(spark, d).select("doc_id", F.col("n_words").cast("long").alias("n_words"), *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in figures)).distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).filter("doc_class <> 'prose'").select("doc_id", "doc_class").distinct()
 
@@ -76,6 +101,7 @@ QUERIES = {
     "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_coverage": p3_coverage,
     "p4_found": p4_found,
     "p4_turns": p4_turns,
     "p7_found": p7_found,
@@ -83,5 +109,6 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
+    "p10_figures": p10_figures,
     "p10_statistics": p10_statistics,
 }

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.dedupe import without_repeats
+
 LIMIT = 1200
 OVERLAP = 120
 #: Places where a unit ends, coarsest first; the end of each match starts the next unit.
@@ -105,7 +107,7 @@ def split_column(items: DataFrame, keys: list[str], *, text_col: str = "text", l
 
 
 def oversized_pieces(segments: DataFrame, calls: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of long segment texts (``turn_pos`` -1) and of long call turns."""
+    """Pieces of long segment texts (``turn_pos`` -1) and of long call turns; repeats are found by hashes, not by texts."""
     from_segments = segments.select(F.col("segment_id").alias("rec_id"), F.lit(-1).alias("turn_pos"), "text")
     from_calls = (
         calls.filter(F.exists("turns", lambda t: F.length(t["text"]) > limit))
@@ -113,4 +115,5 @@ def oversized_pieces(segments: DataFrame, calls: DataFrame, *, limit: int = LIMI
         .select("rec_id", "turn_pos", F.col("turn.text").alias("text"))
         .filter(F.length("text") > limit)
     )
-    return split_column(from_segments.unionByName(from_calls), ["rec_id", "turn_pos"], limit=limit, overlap=overlap).distinct()
+    long = without_repeats(from_segments.filter(F.length("text") > limit).unionByName(from_calls), "rec_id", "turn_pos")
+    return split_column(long, ["rec_id", "turn_pos"], limit=limit, overlap=overlap)
