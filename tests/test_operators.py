@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import text as T
 from voxloom.operators import catalog, dedupe, evaluation, extraction, graph, issues, retrieval, routing, segmentation, serving
-from voxloom.plans import daily
+from voxloom.plans import daily, publish
 from voxloom.sources import calls as raw
 from voxloom.sources import sinks, tables
 from voxloom.streaming import stages
@@ -131,6 +131,39 @@ def test_search_routes_narrows_and_abstains(spark):
     assert doc.title == "XG-482 Vpn Disconnect" and "on versions unspecified." in doc.body and doc.body.startswith("s. Reported by 1 distinct customers across EU")
 
 
+def test_publishing_again_changes_nothing(spark, tmp_path):
+    cat = spark.createDataFrame(PRODUCTS, CATALOG)
+
+    def found(n):
+        rows = [("XG-482", "VPN_DISCONNECT", f"U{i}", "2026-03-01T00:00:00Z") for i in range(n)] + [("M1", "ROUTE_LOSS", "U1", "2026-03-02T00:00:00Z")]
+        o = spark.createDataFrame(rows, "product_id string, issue_key string, customer_id string, timestamp string")
+        return issues.issue_aggregate(o.selectExpr("*", "'s' AS summary", "'low' AS severity", "'t' AS type", "0.5D AS confidence", "1.0D AS attribution_confidence", "'EU' AS region", "'7.2' AS product_version"))
+
+    place = str(tmp_path / "kb")
+    assert publish.publish_issues(found(2), cat, place).count() == 5
+    assert publish.publish_issues(found(2), cat, place).count() == 0
+    assert [r.doc_id for r in publish.publish_issues(found(3), cat, place).collect()] == ["doc::XG-482::VPN_DISCONNECT"]
+    assert sinks.load_index(spark, f"{place}/index", "hashed-256").count() == 5 and sinks.load_index(spark, f"{place}/index", "other").count() == 0
+
+
+def test_caps_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([("b",), ("a",), ("c",)], "segment_id string")
+    assert [r[0] for r in serving.funnel_cap(df, "segment_id", 2).collect()] == ["a", "b"] and serving.funnel_cap(df, "segment_id", None).count() == 3
+    path = str(tmp_path / "t")
+    for _ in range(2):
+        sinks.create_table(spark, path, "a string, b long")
+    assert spark.read.parquet(path).dtypes == [("a", "string"), ("b", "bigint")]
+    late = stages.late_rows(spark.createDataFrame([("u", "h"), ("u", "i")], "customer_id string, content_hash string"), spark.createDataFrame([("u", "h")], "customer_id string, content_hash string"), ["customer_id", "content_hash"])
+    assert [r.content_hash for r in late.collect()] == ["i"]
+
+
+def test_repeats_are_removed_by_key_and_content(spark):
+    rows = [("a", 1, "x"), ("a", 1, "x"), ("a", 1, "y"), ("b", 2, None), ("b", 2, None), (None, 3, "z"), (None, 3, "z"), ("c", None, "")]
+    df = spark.createDataFrame(rows, "k string, n long, t string")
+    assert sorted(map(str, dedupe.without_repeats(df, "k", "n").collect())) == sorted(map(str, df.distinct().collect()))
+    assert dedupe.without_repeats(df.limit(0), "k").count() == 0
+
+
 def test_shortest_path(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("a", "d", "x"), ("d", "c", "x"), ("q", "z", "x")], "src string, dst string, kind string")
     assert graph.shortest_path(edges, "a", "c") == ["a", "b", "c"] and graph.shortest_path(edges, "a", "z") == [] and graph.shortest_path(edges, "a", "a") == ["a"]

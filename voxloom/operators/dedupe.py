@@ -42,8 +42,8 @@ def previous_turns(turns: DataFrame) -> DataFrame:
 
 def without_repeats(rows: DataFrame, *key: str) -> DataFrame:
     """Rows without exact repeats: keys that have several are found by hashes; only their rows are exchanged whole."""
-    mark = rows.select(*key, F.xxhash64(*rows.columns).alias("h"))
-    again = mark.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key).distinct()
+    mark = rows.select(*key, F.xxhash64(*rows.columns).alias("__h"))
+    again = mark.groupBy(*key, "__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key).distinct()
     again = small(stored(again.dropna()))
     known, null = rows.dropna(subset=list(key)), rows.filter(reduce(Column.__or__, (F.col(k).isNull() for k in key))).distinct()
     return known.join(again, list(key), "left_anti").unionByName(known.join(again, list(key), "left_semi").distinct()).unionByName(null)

@@ -49,6 +49,13 @@ def ranking_measures(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> Data
     return both.select("query_id", F.round(F.col("hits") / F.col("total") + 1e-9, 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)) + 1e-9, 6).alias("rr"), F.round(F.col("dcg") / ideal + 1e-9, 6).alias("ndcg"))
 
 
+def ranking_by_category(measures: DataFrame, categories: DataFrame) -> DataFrame:
+    """Means of the measures of queries by their category (query_id, category)."""
+    by = measures.join(categories, "query_id").groupBy("category")
+    mean = lambda c: F.round(F.avg(c) + 1e-9, 6).alias(c)
+    return by.agg(F.count(F.lit(1)).alias("queries"), mean("recall"), mean("rr"), mean("ndcg"))
+
+
 def cohen_kappa(labels: DataFrame, first: str, second: str) -> DataFrame:
     """Observed and expected agreement, and kappa, of two annotators over the items both labelled.
 

@@ -18,7 +18,7 @@ def transcript(turns: Column, speaker: str | None = None) -> Column:
 
 def _folded(turns: Column, kind: str) -> Column:
     empty = F.array().cast(kind)
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), empty.alias("open"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), empty.alias("open"), F.lit(0).alias("size"))
 
     def step(acc: Column, t: Column) -> Column:
         marked = F.lit(False)
@@ -27,8 +27,10 @@ def _folded(turns: Column, kind: str) -> Column:
         cut = (t["speaker"] == "customer") & (F.size(acc["open"]) > 0) & marked
         done = F.when(cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
         grown = F.when(cut, F.array(t)).otherwise(F.concat(acc["open"], F.array(t)))
-        full = F.aggregate(grown, F.lit(0), lambda n, x: n + F.length(x["text"])) > SEGMENT_CHARS
-        return F.struct(F.when(full, F.concat(done, F.array(grown))).otherwise(done).alias("done"), F.when(full, empty).otherwise(grown).alias("open"))
+        # The length goes along, so that no turn is measured twice.
+        size = F.when(cut, F.length(t["text"])).otherwise(acc["size"] + F.length(t["text"]))
+        full = size > SEGMENT_CHARS
+        return F.struct(F.when(full, F.concat(done, F.array(grown))).otherwise(done).alias("done"), F.when(full, empty).otherwise(grown).alias("open"), F.when(full, 0).otherwise(size).alias("size"))
 
     return F.aggregate(turns, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda g: F.size(g) > 0))
 

@@ -86,6 +86,18 @@ def status_listing(issues: DataFrame, decided: DataFrame) -> DataFrame:
     return named.select("product_id", "issue_key", "severity", F.coalesce("status", F.lit("observed")).alias("status"), F.col("distinct_customers").alias("customers"), "mentions")
 
 
+def routing_accuracy(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of (query_id, query, route, answerable): questions routed as expected, and unanswerable ones for which the search, rightly, found nothing.
+
+    ``route`` is sql or rag; ``found`` has query_id for every hit of the search.
+    """
+    took = F.when(is_counting(F.col("query")), "sql").otherwise("rag")
+    hit = found.select("query_id").distinct().withColumn("hit", F.lit(True))
+    rows = questions.join(hit, "query_id", "left")
+    open_ = ~F.coalesce("answerable", F.lit(True))
+    return rows.agg(F.count(F.lit(1)).alias("questions"), F.count_if(took == F.col("route")).alias("routed"), F.count_if(open_).alias("unanswerable"), F.count_if(open_ & F.col("hit").isNull()).alias("abstained"))
+
+
 def asked_issues(questions: DataFrame, issues: DataFrame, products: DataFrame, n: int = 10) -> DataFrame:
     """(query_id, product_id, issue_key, customers, mentions, place): answers to counting questions (query_id, query) from the issues.
 

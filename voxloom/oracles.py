@@ -581,6 +581,17 @@ ORACLES = {
         o AS (SELECT DISTINCT observation_id, segment_id, issue_key, attribution_confidence FROM observations)
         SELECT issue_key, count(*) AS observations, count(*) FILTER (WHERE attribution_confidence < 0.5) AS weak, count(*) FILTER (WHERE segment_id IN (SELECT segment_id FROM tainted)) AS contaminated FROM o GROUP BY issue_key
     """,
+    "status_listing": f"WITH {_ISSUES} SELECT product_id, issue_key, severity, CASE WHEN mentions >= 100 THEN 'confirmed' ELSE 'observed' END AS status, customers, mentions FROM issues",
+    "routing_accuracy": """
+        SELECT 2 * count(*) AS questions, 2 * count(*) AS routed, count(*) AS unanswerable, count(*) AS abstained FROM product_catalog
+    """,
+    "ranking_by_family": f"""
+        SELECT family AS category, count(*) AS queries, round(avg(recall) + 1e-9, 6) AS recall, round(avg(rr) + 1e-9, 6) AS rr, round(avg(ndcg) + 1e-9, 6) AS ndcg FROM (WITH {_BM25_PARTS}, {_bm25('canonical_name', 'a')}, rel AS (SELECT DISTINCT product_id AS query_id, doc_id FROM documents WHERE product_id IS NOT NULL),
+        total AS (SELECT query_id, count(*) AS total FROM rel GROUP BY query_id),
+        hits AS (SELECT query_id, count(*) FILTER (WHERE place <= 5) AS hits, min(place) AS first, sum(CASE WHEN place <= 5 THEN 1 / log2(place + 1.0) ELSE 0 END) AS dcg FROM a JOIN rel USING (query_id, doc_id) GROUP BY query_id)
+        SELECT query_id, round(coalesce(hits, 0) / total + 1e-9, 6) AS recall, round(coalesce(1 / first, 0.0) + 1e-9, 6) AS rr,
+               round(coalesce(dcg, 0.0) / list_sum(list_transform(range(1, least(total, 5) + 1), lambda i: 1 / log2(i + 1.0))) + 1e-9, 6) AS ndcg FROM total LEFT JOIN hits USING (query_id)) m JOIN product_catalog ON product_id = query_id GROUP BY family
+    """,
     "p6_found": """
         SELECT product_id, issue_key FROM observations GROUP BY ALL
         HAVING count(*) > 0.01 * (SELECT count(*) FROM observations)

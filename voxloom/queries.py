@@ -322,6 +322,24 @@ def top_issues(spark: SparkSession, d: str) -> DataFrame:
     return serving.top_issues(_issues(spark, d)).select(*KEYS, "distinct_customers", "mentions")
 
 
+def status_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Issues with a status decided elsewhere: confirmed from a hundred mentions on."""
+    found = stored(_issues(spark, d))
+    return serving.status_listing(found, found.filter("mentions >= 100").select(*KEYS, F.lit("confirmed").alias("status")))
+
+
+def routing_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of which every second counts, and as many that no document answers."""
+    asked = _questions(spark, d).withColumn("route", F.when(F.col("query").startswith("how many"), "sql").otherwise("rag")).withColumn("answerable", F.lit(True))
+    odd = asked.select(F.concat(F.lit("x-"), "query_id").alias("query_id"), F.lit("zyzzyva quuxfrob plugh").alias("query"), F.lit("rag").alias("route"), F.lit(False).alias("answerable"))
+    every = stored(asked.unionByName(odd))
+    return serving.routing_accuracy(every, retrieval.hybrid_search(_search_docs(spark, d), every.select("query_id", "query"), table(spark, d, "product_catalog"), mode="bm25"))
+
+
+def ranking_by_family(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.ranking_by_category(ranking_measures(spark, d), table(spark, d, "product_catalog", "product_id", "family").toDF("query_id", "category"))
+
+
 def issue_documents(spark: SparkSession, d: str) -> DataFrame:
     return serving.issue_documents(_issues(spark, d))
 
@@ -603,7 +621,7 @@ QUERIES = {
         *(sessions, tumbling, metrics_unpivot, metrics_pivot, usage_by_extractor, event_counts, document_frequency, bm25_scores, dense_topk, hybrid_fusion, rank_fusion),
         *(leg_weights, topical_coverage, ranking_measures, stale_documents, threshold_sweep, annotator_kappa, contested_items, groundedness, word_error_rate),
         *(stratified_sample, graph_degrees, graph_shared_modes, graph_blast_radius, graph_hops, corpus_languages, star_join, daily_issues),
-        *(lexical_search, hybrid_search, counting_questions, asked_issues, top_issues, issue_documents, overview_documents, claim_views, egress_decisions, read_only_statements),
+        *(lexical_search, hybrid_search, counting_questions, asked_issues, top_issues, status_listing, routing_accuracy, ranking_by_family, issue_documents, overview_documents, claim_views, egress_decisions, read_only_statements),
         *(router_metrics, errors_by_category, best_threshold, silver_totals, region_totals, count_mismatch, unlabelled_pool, contamination, identifier_top1, sentence_counts),
         *(known_issue_keys, payload_observations, label_summary, label_export, evidence_sink, merged_issues, metrics_sink, audit_sink, index_update, audit_tail, stream_windows),
         *(speaker_at, cluster_mapping),

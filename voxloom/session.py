@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 _OWN: set[str] = set()
 
 
@@ -34,6 +36,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, wherever it was imported from."""
+    with _SHIPPING:
+        _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
