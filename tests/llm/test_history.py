@@ -148,7 +148,7 @@ def test_batch_after_batch_reads_runs_only(spark, tmp_path):
     assert {tuple(r) for r in first.found.collect()} == {p for p in want if p[0].startswith("B1")}
     later = {p for p in want if p[0].startswith("B2")}
     batch = frames(spark, [], two)[1]
-    for runs in ((run, added), (merged,), (history.open_run(spark, str(tmp_path / "merged")),)):
+    for runs in ((run, added), (history.open_run(spark, merged.place),)):
         assert {tuple(r) for r in history.check_batch(batch, *runs).found.collect()} == later and later
 
 

@@ -37,7 +37,8 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3_pieces(spark, d).filter("piece_no = 1").select("rec_id", "turn_pos").distinct()
+    pieces = splitting.oversized_pieces(table(spark, d, "segments", "segment_id", "text"), table(spark, d, "calls", "call_id", "turns"), once=False)
+    return pieces.filter("piece_no = 1").select("rec_id", "turn_pos").distinct()
 
 
 def p3_coverage(spark: SparkSession, d: str) -> DataFrame:

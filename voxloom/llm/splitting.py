@@ -106,8 +106,11 @@ def split_column(items: DataFrame, keys: list[str], *, text_col: str = "text", l
     return long.mapInArrow(pieces, f"{kinds}, piece_no int, start_at int, end_at int, piece string")
 
 
-def oversized_pieces(segments: DataFrame, calls: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of long segment texts (``turn_pos`` -1) and of long call turns; repeats are found by hashes, not by texts."""
+def oversized_pieces(segments: DataFrame, calls: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP, once: bool = True) -> DataFrame:
+    """Pieces of long segment texts (``turn_pos`` -1) and of long call turns.
+
+    Repeats are found by hashes, not by texts; without ``once`` they stay.
+    """
     from_segments = segments.select(F.col("segment_id").alias("rec_id"), F.lit(-1).alias("turn_pos"), "text")
     from_calls = (
         calls.filter(F.exists("turns", lambda t: F.length(t["text"]) > limit))
@@ -115,5 +118,5 @@ def oversized_pieces(segments: DataFrame, calls: DataFrame, *, limit: int = LIMI
         .select("rec_id", "turn_pos", F.col("turn.text").alias("text"))
         .filter(F.length("text") > limit)
     )
-    long = without_repeats(from_segments.filter(F.length("text") > limit).unionByName(from_calls), "rec_id", "turn_pos")
-    return split_column(long, ["rec_id", "turn_pos"], limit=limit, overlap=overlap)
+    long = from_segments.filter(F.length("text") > limit).unionByName(from_calls)
+    return split_column(without_repeats(long, "rec_id", "turn_pos") if once else long, ["rec_id", "turn_pos"], limit=limit, overlap=overlap)
