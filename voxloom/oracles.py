@@ -428,7 +428,7 @@ ORACLES = {
             FROM walk JOIN u USING (rid, pos) GROUP BY rid, g
         )
         SELECT call_id || '-S' || CASE WHEN g < 10 THEN '0' ELSE '' END || g AS segment_id, call_id, customer_id, timestamp, region, text,
-               map_from_entries(list_transform(list_sort(list_distinct(who)), lambda s: {'k': s, 'v': CAST(len(list_filter(who, lambda x: x = s)) AS INTEGER)})) AS speaker_mix,
+               array_to_string(list_transform(list_sort(list_distinct(who)), lambda s: s || '=' || len(list_filter(who, lambda x: x = s))), ',') AS speaker_mix,
                CAST(n AS INTEGER) AS customer_turns, coalesce(least, 0.0) AS attribution_confidence, sha1(text) AS content_hash
         FROM grouped JOIN one USING (rid)
     """,

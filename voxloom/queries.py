@@ -185,7 +185,10 @@ def call_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_calls(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.segment_calls(_deliveries(spark, d, "customer_id", "timestamp", "region"))
+    made = segmentation.segment_calls(_deliveries(spark, d, "customer_id", "timestamp", "region"))
+    # As text, for maps have no order.
+    mix = F.transform(F.array_sort(F.map_entries("speaker_mix")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return made.withColumn("speaker_mix", F.array_join(mix, ","))
 
 
 def turn_windows(spark: SparkSession, d: str) -> DataFrame:
