@@ -20,10 +20,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,15 +128,15 @@ class Summary:
             if not v:
                 self.blank += n
                 continue
+            is_time, number, h, shape = _known_value(v) if len(v) < 64 else _looked_at(v)
             self.n += n
-            self.times += n * bool(_TIME.match(v))
-            if _NUMBER.match(v):
-                x = float(v)
+            self.times += n * is_time
+            if number is not None:
                 self.numbers += n
-                self.whole += n * x.is_integer()
-                self.top = max(self.top, abs(x))
-            values[_hash(v)] += n
-            shapes[_hash(_shape(v))] += n
+                self.whole += n * number.is_integer()
+                self.top = max(self.top, abs(number))
+            values[h] += n
+            shapes[shape] += n
         self.values, self.shapes = _smallest(values), _smallest(shapes)
         return self
 
@@ -146,16 +148,22 @@ class Summary:
         )
 
 
-_SUMMARY = pa.struct([("n", pa.int64()), ("blank", pa.int64()), ("times", pa.int64()), ("numbers", pa.int64()), ("whole", pa.int64()), ("top", pa.float64()), ("values", pa.map_(pa.int64(), pa.int64())), ("shapes", pa.map_(pa.int64(), pa.int64()))])
-_SUMMARY_SQL = "struct<n: bigint, blank: bigint, times: bigint, numbers: bigint, whole: bigint, top: double, values: map<bigint,bigint>, shapes: map<bigint,bigint>>"
+#: Sketches travel as pairs of 8-byte numbers, which cost far less to read than maps.
+_SUMMARY = pa.struct([("n", pa.int64()), ("blank", pa.int64()), ("times", pa.int64()), ("numbers", pa.int64()), ("whole", pa.int64()), ("top", pa.float64()), ("values", pa.binary()), ("shapes", pa.binary())])
+_SUMMARY_SQL = "struct<n: bigint, blank: bigint, times: bigint, numbers: bigint, whole: bigint, top: double, values: binary, shapes: binary>"
 
 
 def _written(summary: Summary) -> dict:
-    return vars(summary) | {"values": sorted(summary.values.items()), "shapes": sorted(summary.shapes.items())}
+    return vars(summary) | {k: array("q", chain.from_iterable(sorted(getattr(summary, k).items()))).tobytes() for k in ("values", "shapes")}
 
 
-def _read(row: dict) -> Summary:
-    return Summary(**{**row, "values": dict(row["values"]), "shapes": dict(row["shapes"])})
+def _pairs(packed: bytes) -> dict[int, int]:
+    flat = memoryview(packed).cast("q").tolist()
+    return dict(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _read(row: dict | Summary) -> Summary:
+    return row if isinstance(row, Summary) else Summary(**{**row, "values": _pairs(row["values"]), "shapes": _pairs(row["shapes"])})
 
 
 def summary_of(values: list[str]) -> Summary:
@@ -231,11 +239,23 @@ _NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?$")
 
 def _shape(value: str) -> str:
     """A written value with runs of letters and of digits made alike; long hexadecimal strings are one kind."""
-    if re.fullmatch(r"[0-9a-f]{16,}", value):
+    if _HEX.fullmatch(value):
         return f"hex{len(value)}"
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", value))
+    # Bytes: beyond ASCII everything counts as a letter.
+    return _RUNS.sub(lambda m: m[0][:1], value.encode("utf-8", "replace").translate(_CLASSES)).decode()
+
+
+_HEX, _RUNS = re.compile(r"[0-9a-f]{16,}"), re.compile(rb"a{2,}|9{2,}")
+_CLASSES = bytes(ord("9") if chr(b).isdigit() and b < 128 else ord("a") if b > 127 or chr(b).isalpha() else b for b in range(256))
+
+
+def _looked_at(value: str) -> tuple[bool, float | None, int, int]:
+    """Whether it is a time, the number that it is, and the hashes of the value and of its shape."""
+    return bool(_TIME.match(value)), float(value) if _NUMBER.match(value) else None, _hash(value), _shape_hash(_shape(value))
 
 
+_known_value = lru_cache(maxsize=200_000)(_looked_at)
+_shape_hash = lru_cache(maxsize=20_000)(_hash)
 _PLAIN_SHAPES = frozenset(map(_hash, ("a", "a a")))
 
 
@@ -306,13 +326,15 @@ def compare_headers(old: dict[str, tuple[str, Summary]], new: dict[str, tuple[st
     ``known`` names paths that other files have shown to be one field.
     """
     known = known or {}
+    # Most fields stay; only the values of those that go or come are looked at.
     gone, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
+    of_old, of_new = {g: _read(old[g][1]) for g in gone}, {c: _read(new[c][1]) for c in come}
     scored = []
     for g in gone:
         for c in come:
             n = 1.0 if g in known and known[g] == known.get(c) else name_likeness(g, c)
-            v, telling = value_likeness(old[g][1], new[c][1])
-            codes = max(len(old[g][1].values), len(new[c][1].values)) <= CODES and "array" not in (old[g][0], new[c][0])
+            v, telling = value_likeness(of_old[g], of_new[c])
+            codes = max(len(of_old[g].values), len(of_new[c].values)) <= CODES and "array" not in (old[g][0], new[c][0])
             # Known by both; by values that nothing else has; or a list of codes recoded under nearly the same name.
             if n >= SAME_NAME and v >= SAME_VALUES or n >= 0 and telling and v >= CERTAIN_VALUES or n >= 1 and v == 0 and codes:
                 scored.append((-(n + v), g, c))
@@ -343,7 +365,7 @@ def file_changes(headers: DataFrame) -> DataFrame:
 
     def comparing(known: dict[str, str]) -> DataFrame:
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read = lambda fields: {f["field_path"]: (f["kind"], _read(f["summary"])) for f in fields if f["field_path"]}
+            read = lambda fields: {f["field_path"]: (f["kind"], f["summary"]) for f in fields if f["field_path"]}
             for b in batches:
                 rows = []
                 for name, no, new, old in zip(*(c.to_pylist() for c in b.columns), strict=True):
