@@ -117,11 +117,9 @@ def asked_issues(questions: DataFrame, issues: DataFrame, products: DataFrame, n
     product = asked.filter("asked_product IS NOT NULL AND asked_issue IS NULL").join(rows, F.col("asked_product") == F.col("product_id"))
     issue = asked.filter("asked_product IS NULL AND asked_issue IS NOT NULL").join(rows, F.col("asked_issue") == F.col("issue_key"))
     score = F.when(F.col("by_customers"), F.col("customers")).otherwise(F.col("mentions"))
-    general = []
-    for test, by in (("by_customers", "customers"), ("NOT by_customers", "mentions")):
-        top = rows.orderBy(F.desc(by), "product_id", "issue_key").limit(n)
-        general.append(asked.filter(f"asked_product IS NULL AND asked_issue IS NULL AND {test}").join(F.broadcast(top)))  # n rows
-    every = both.unionByName(product).unionByName(issue).unionByName(general[0]).unionByName(general[1])
+    tops = [rows.orderBy(F.desc(by), "product_id", "issue_key").limit(n).withColumn("by_customers", F.lit(by == "customers")) for by in ("customers", "mentions")]
+    general = asked.filter("asked_product IS NULL AND asked_issue IS NULL").join(tops[0].unionByName(tops[1]), "by_customers")
+    every = both.unionByName(product).unionByName(issue).unionByName(general)
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "product_id", "issue_key")
