@@ -119,6 +119,39 @@ def test_counting_in_spark_equals_counting_at_hand(spark):
     assert names.common <= here.common
 
 
+RARE = ["Our man will recalibrate it, Mr. Halvorsen said.", "She had to recalibrate the line.", "They recalibrate and rock'n'roll; the Rock'n'Roll fails."]
+
+
+def test_counts_do_not_depend_on_batches():
+    texts = [*GENERAL, *RARE]
+    added: dict[str, list[int]] = {}
+    for t in texts:
+        for w, n in pii.count_words([t]).items():
+            added[w] = [a + b for a, b in zip(added.get(w, [0] * len(n)), n, strict=True)]
+    assert added == pii.count_words(texts) and added["recalibrate"][0] == 3
+
+
+def test_words_of_which_each_batch_has_one_are_known(spark):
+    df = spark.createDataFrame([(f"r{i}", t) for i, t in enumerate([*GENERAL, *RARE, "hello, this is recalibrate", "Look (Recalibrate Router) up"])], "rec_id string, text string").repartition(20)
+    names, _ = pii.corpus_names(df)
+    assert "recalibrate" in names.common and names.common == learn_names([r.text for r in df.collect()]).common
+    found = {r.rec_id: [m.pii_kind for m in r.found] for r in mentions(df).collect()}
+    assert found["r15"] == [] and found["r16"] == []
+
+
+def test_other_words_beyond_the_bound_are_joined_to_their_texts(spark, monkeypatch):
+    more = ["hello, this is recalibrate", "Look (Recalibrate Router) up", "Please ask the Ferrowen Router of Nkechi Abara's Line's Ferry", "Yesterday Rock'n'Roll Pilot and d'Abara'n'Halvorsen met Margaret Halloway", "this is halvorsen's router", None, ""]
+    rows = [(f"r{i}", t) for i, t in enumerate([*GENERAL, *RARE, *more, *more])]
+    df = spark.createDataFrame(rows, "rec_id string, text string")
+    sent = {r.rec_id: r.found for r in mentions(df).collect()}
+    assert sent["r15"] == [] and len(sent["r18"]) > 0
+    for others, names in ((0, 1000), (3, 1000), (5, 0), (0, 0)):
+        monkeypatch.setattr(pii, "MOST_OTHERS", others)
+        monkeypatch.setattr(pii, "MOST_NAMES", names)
+        assert pii.corpus_names(df)[1] is not None
+        assert {r.rec_id: r.found for r in mentions(df).collect()} == sent, (others, names)
+
+
 def test_redaction_and_placeholders():
     text = "Ring 573.555.0103 or [REDACTED:PHONE], Mr. Moreau."
     assert redact(text, find_mentions(text, NAMES)) == "Ring [REDACTED:PHONE] or [REDACTED:PHONE], Mr. [REDACTED:PERSON_NAME]."

@@ -28,18 +28,19 @@ from bisect import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.session import stored
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
-#: Known names and other words that may be sent to the executors; more names are joined to the texts that hold them, of the
-#: other words the most frequent are used.
+#: Known names and other words that may be sent to the executors. More names are joined to the texts that hold them, and so
+#: are the other words but the most frequent.
 MOST_NAMES, MOST_OTHERS = 1_000_000, 300_000
 #: Digits as words.
 DIGIT_WORDS = {
@@ -541,8 +542,7 @@ def count_words(texts: Iterable[str | None]) -> dict[str, list[int]]:
         for w in _name_places(text, low):
             out.setdefault(w.lower(), [0, 0, 0, 0, 0])[4] += 1
     for w, n in lower.items():
-        if w in out or n > 1:
-            out.setdefault(w, [0, 0, 0, 0, 0])[0] += n
+        out.setdefault(w, [0, 0, 0, 0, 0])[0] += n
     return out
 
 
@@ -607,34 +607,100 @@ def _kind() -> F.Column:
 
 
 def corpus_names(texts: DataFrame) -> tuple[Names, DataFrame | None]:
-    """Names of a table of texts, and, if they are too many to be sent, the table (word, kind) of all of them.
+    """Names of a table of texts, and, if its words are too many to be sent, the table (word, kind) of those that were not.
 
-    Common words and things keep unseen names apart from other words; of them the
-    MOST_OTHERS most frequent are enough, and only those ever written with a capital.
+    Names are sent all or not at all; common words and things, which keep unseen names
+    apart from other words, up to the MOST_OTHERS most frequent.
     """
-    words = stored(word_counts(texts).withColumn("kind", _kind()).filter("kind IS NOT NULL AND (upper > 0 OR kind <> 'common')"))
+    words = stored(word_counts(texts).withColumn("kind", _kind()).filter("kind IS NOT NULL"))
+    size = dict(words.groupBy("kind").count().collect())
     names = words.filter("kind IN ('sure', 'doubtful')").select("word", "kind")
-    others = words.filter("kind IN ('common', 'thing')").orderBy(F.desc(F.col("lower") + F.col("upper")), "word").limit(MOST_OTHERS)
+    others = words.filter("kind IN ('common', 'thing')").select("word", "kind", (F.col("lower") + F.col("upper")).alias("n"))
     of: dict[str, set[str]] = {}
-    many = names.count() > MOST_NAMES
-    for r in (others.select("word", "kind") if many else others.select("word", "kind").unionByName(names)).toLocalIterator():
+    left = []
+    if size.get("sure", 0) + size.get("doubtful", 0) > MOST_NAMES:
+        left.append(names)
+    else:
+        for r in names.toLocalIterator():
+            of.setdefault(r["kind"], set()).add(r["word"])
+    many = size.get("common", 0) + size.get("thing", 0) > MOST_OTHERS
+    r = None
+    for r in (others.orderBy(F.desc("n"), "word").limit(MOST_OTHERS) if many else others).toLocalIterator():
         of.setdefault(r["kind"], set()).add(r["word"])
-    return Names(*(frozenset(of.get(k, ())) for k in ("sure", "doubtful", "common", "thing"))), names if many else None
+    if many:
+        # Those behind the last that is sent.
+        behind = F.lit(True) if r is None else (F.col("n") < r["n"]) | (F.col("n") == r["n"]) & (F.col("word") > r["word"])
+        left.append(others.filter(behind).select("word", "kind"))
+    return Names(*(frozenset(of.get(k, ())) for k in ("sure", "doubtful", "common", "thing"))), reduce(DataFrame.unionByName, left) if left else None
 
 
-def _with_known(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Texts with the known names that each holds, as ``known`` (map of word to kind)."""
+_LETTERS = re.compile(r"[^\W\d_]+")
+_CHAIN = re.compile(r"[^\W\d_]+(?:['’]+[^\W\d_]+)*")
+
+
+def _looked_up(text: str, longest: int) -> set[str]:
+    """The words of a text that ``find_mentions`` may look up, of at most ``longest`` parts between apostrophes."""
+    # Only these letters have a lower case that depends on the text around them.
+    out = {m[0].lower() for m in _TWO_CAPITALS.finditer(text)} if "Σ" in text or "İ" in text else set()
+    for w in set(_CHAIN.findall(lower_same(text))):
+        if w.isalpha():
+            out.add(w)
+            continue
+        cuts = [m.span() for m in _LETTERS.finditer(w)]
+        out.update(w[a:b] for k, (a, _) in enumerate(cuts) for _, b in cuts[k : k + longest])
+    return out
+
+
+def _with_known(texts: DataFrame, table: DataFrame, sent: Broadcast) -> DataFrame:
+    """Texts with the known words that each holds and that were not sent, as ``known`` (map of word to kind)."""
     keyed = texts.select("rec_id", "text", F.md5("text").alias("h"))
-    held = keyed.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’][\p{L}]+)?"), F.lit(0)))).alias("word"))
-    known = held.join(names, "word").distinct().groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("known"))
+    longest = table.agg(F.max(F.size(F.split("word", "['’]+")))).first()[0] or 0
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sent.value
+        for b in batches:
+            of, held = [], []
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held += [w for w in _looked_up(text or "", longest) if not (w in every.common or w in every.things or w in every.sure or w in every.doubtful)]
+                of += [h] * (len(held) - len(of))
+                if len(held) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(held, pa.string())], ["h", "word"])
+                    of, held = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(held, pa.string())], ["h", "word"])
+
+    held = keyed.select("h", "text").mapInArrow(words, "h string, word string")
+    known = held.join(table, "word").groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("word", "kind"))).alias("known"))
     return keyed.join(known, "h", "left").select("rec_id", "text", "known")
 
 
+class _Words:
+    """Words that were sent and those joined to one text; empty only if the whole table has none."""
+
+    def __init__(self, sent: frozenset[str], own: frozenset[str], some: bool) -> None:
+        self.sent, self.own, self.some = sent, own, some
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.sent or word in self.own
+
+    def __bool__(self) -> bool:
+        return self.some
+
+
+def _names_of(every: Names, known: list[tuple[str, str]], common: bool) -> Names:
+    """The names that were sent, with the known words joined to one text."""
+    if not known and bool(every.common) == common:
+        return every
+    sure, doubtful, own, things = (frozenset(w for w, kind in known if kind == k) for k in ("sure", "doubtful", "common", "thing"))
+    machine = None if sure or doubtful else every.machine
+    return Names(sure or every.sure, doubtful or every.doubtful, _Words(every.common, own, common), _Words(every.things, things, True), machine)
+
+
 def mentions(texts: DataFrame, names: Names | None = None) -> DataFrame:
-    """(rec_id, redacted, found array<struct<pii_kind, start_at, end_at>>) of rows (rec_id, text); no shuffle of texts unless names are too many to be sent."""
+    """(rec_id, redacted, found array<struct<pii_kind, start_at, end_at>>) of rows (rec_id, text); no shuffle of texts unless known words are too many to be sent."""
     table = None
     if names is None:
         names, table = corpus_names(texts)
+    common = bool(names.common) or table is not None and not table.filter("kind = 'common'").isEmpty()
     sent = texts.sparkSession.sparkContext.broadcast(names)
     kind = pa.list_(pa.struct([("pii_kind", pa.string()), ("start_at", pa.int32()), ("end_at", pa.int32())]))
 
@@ -645,11 +711,10 @@ def mentions(texts: DataFrame, names: Names | None = None) -> DataFrame:
             if b.num_columns == 2:
                 found = [find_mentions(t, every) for t in texts]
             else:
-                own = [dict(k or ()) for k in b.column(2).to_pylist()]
-                found = [find_mentions(t, Names(frozenset(w for w in k if k[w] == "sure"), frozenset(w for w in k if k[w] == "doubtful"), every.common, every.things)) for t, k in zip(texts, own, strict=True)]
+                found = [find_mentions(t, _names_of(every, k or [], common)) for t, k in zip(texts, b.column(2).to_pylist(), strict=True)]
             clean = [redact(t, f) for t, f in zip(texts, found, strict=True)]
             rows = [[{"pii_kind": k, "start_at": s, "end_at": e} for s, e, k in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), pa.array(rows, kind)], ["rec_id", "redacted", "found"])
 
-    source = texts.select("rec_id", "text") if table is None else _with_known(texts, table)
+    source = texts.select("rec_id", "text") if table is None else _with_known(texts, table, sent)
     return source.mapInArrow(scan, "rec_id string, redacted string, found array<struct<pii_kind: string, start_at: int, end_at: int>>")
